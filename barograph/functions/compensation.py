@@ -52,27 +52,40 @@ def temperature(fine: Column) -> Column:
     return _right(fine * 5 + 128, 8)
 
 
-def pressure(raw: Column, fine: Column, p: list[Column]) -> Column:
-    """Pascal times 256; 0 where the calibration admits no result."""
-    p1, p2, p3, p4, p5, p6, p7, p8, p9 = p
+def pressure_terms(fine: Column, p: list[Column]) -> dict[str, Column]:
+    """First stage of the pressure: what is taken off the raw value and what it is divided by."""
+    p1, p2, p3, p4, p5, p6 = p[:6]
     v = fine - 128_000
     offset = v * v * p6 + _times_power(v * p5, 17) + _times_power(p4, 35)
     scale = _right((F.lit(1 << 47) + _right(v * v * p3, 8) + _times_power(v * p2, 12)) * p1, 33)
-    q = _floor_divide((_times_power(F.lit(1_048_576) - raw, 31) - offset) * 3125, scale)
-    square = _right(p9 * _right(q, 13) * _right(q, 13), 25)
+    return {"p_offset": offset, "p_scale": scale}
+
+
+def pressure_quotient(raw: Column, offset: Column, scale: Column) -> Column:
+    return _floor_divide((_times_power(F.lit(1_048_576) - raw, 31) - offset) * 3125, scale)
+
+
+def pressure(quotient: Column, scale: Column, p: list[Column]) -> Column:
+    """Pascal times 256; 0 where the calibration admits no result."""
+    p7, p8, p9 = p[6:]
+    square = _right(p9 * _right(quotient, 13) * _right(quotient, 13), 25)
     return F.when(scale == 0, F.lit(0).cast("bigint")).otherwise(
-        _right(q + square + _right(p8 * q, 19), 8) + _times_power(p7, 4)
+        _right(quotient + square + _right(p8 * quotient, 19), 8) + _times_power(p7, 4)
     )
 
 
-def humidity(raw: Column, fine: Column, h: list[Column]) -> Column:
-    """Percent times 1024, kept between 0 and 100 %."""
-    h1, h2, h3, h4, h5, h6 = h
+def humidity_product(raw: Column, fine: Column, h: list[Column]) -> Column:
+    """First stage of the humidity."""
+    _, h2, h3, h4, h5, h6 = h
     v = fine - 76_800
     signal = _right(_times_power(raw, 14) - _times_power(h4, 20) - h5 * v + 16_384, 15)
     slope = _right(_right(v * h6, 10) * (_right(v * h3, 11) + 32_768), 10) + 2_097_152
-    x = signal * _right(slope * h2 + 8_192, 14)
-    x = x - _right(_right(_right(x, 15) * _right(x, 15), 7) * h1, 4)
+    return signal * _right(slope * h2 + 8_192, 14)
+
+
+def humidity(product: Column, h: list[Column]) -> Column:
+    """Percent times 1024, kept between 0 and 100 %."""
+    x = product - _right(_right(_right(product, 15) * _right(product, 15), 7) * h[0], 4)
     return _right(F.least(F.greatest(x, F.lit(0).cast("bigint")), F.lit(HUMIDITY_LIMIT).cast("bigint")), 12)
 
 

@@ -7,7 +7,7 @@ values it sets (NULL: leaves as it is) and by whether it was understood to the e
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,175 +72,194 @@ def sentence_status(piece: Column, body: Column) -> Column:
     )
 
 
-class _Fields:
-    """The comma-separated fields of a sentence; a missing field reads as NULL."""
-
-    def __init__(self, fields: Column):
-        self.all = fields
-
-    def text(self, i: int | Column) -> Column:
-        return F.get(self.all, F.lit(i) if isinstance(i, int) else i)
+#: Where each kind carries a value: field number, counted from 0 at the sentence's name (fixed values).
+PLACES = {
+    "clock": {"RMC": 1, "GLL": 5, "GGA": 1},
+    "day": {"RMC": 9},
+    "flag": {"RMC": 2, "GLL": 6},
+    "lat": {"RMC": 3, "GLL": 1, "GGA": 2},
+    "lat_hemisphere": {"RMC": 4, "GLL": 2, "GGA": 3},
+    "lon": {"RMC": 5, "GLL": 3, "GGA": 4},
+    "lon_hemisphere": {"RMC": 6, "GLL": 4, "GGA": 5},
+    "speed": {"RMC": 7, "VTG": 5},
+    "course": {"RMC": 8, "VTG": 1},
+    "fix_stat": {"GGA": 6},
+    "used": {"GGA": 7},
+    "hdop": {"GGA": 8, "GSA": 16},
+    "altitude": {"GGA": 9},
+    "geoid": {"GGA": 11},
+    "fix_type": {"GSA": 2},
+    "pdop": {"GSA": 15},
+    "vdop": {"GSA": 17},
+    "sv_total": {"GSV": 1},
+    "sv_index": {"GSV": 2},
+    "sv_view": {"GSV": 3},
+}
+KINDS = ["RMC", "GLL", "VTG", "GGA", "GSA", "GSV"]
+SET_COLUMNS = [*INITIAL_STATE, "satellites"]
 
-    def whole(self, i: int | Column) -> Column:
-        return self.text(i).try_cast("int")
 
-    def number(self, i: int) -> Column:
-        return self.text(i).try_cast("double")
+def _all_known(*cols: Column) -> Column:
+    return reduce(and_, [c.isNotNull() for c in cols])
 
-    def number_or_zero(self, i: int) -> Column:
-        return F.when(self.text(i) == "", F.lit(0.0)).otherwise(self.number(i))
 
-    def clock(self, i: int, hour_offset: int) -> Column:
-        t = self.text(i)
-        h, m, s = F.substring(t, 1, 2).try_cast("int"), F.substring(t, 3, 2).try_cast("int"), F.substring(t, 5, 90)
-        s = s.try_cast("double")
-        return F.when(t == "", F.expr(INITIAL_STATE["time"])).when(
-            _all_known(h, m, s),
-            F.struct(F.pmod(h + hour_offset, F.lit(24)).alias("hour"), m.alias("minute"), s.alias("second")),
-        )
+def _clock(t: Column, hour_offset: int) -> Column:
+    """Hours are shifted without touching the date; a blank is midnight."""
+    h, m, s = F.substring(t, 1, 2).try_cast("int"), F.substring(t, 3, 2).try_cast("int"), F.substring(t, 5, 90)
+    s = s.try_cast("double")
+    return F.when(t == "", F.expr(INITIAL_STATE["time"])).when(
+        _all_known(h, m, s),
+        F.struct(F.pmod(h + hour_offset, F.lit(24)).alias("hour"), m.alias("minute"), s.alias("second")),
+    )
 
-    def day(self, i: int) -> Column:
-        t = self.text(i)
-        d, m, y = (F.substring(t, at, 2).try_cast("int") for at in (1, 3, 5))
-        return F.when(t == "", F.expr(INITIAL_STATE["date"])).when(
-            _all_known(d, m, y), F.struct(d.alias("day"), m.alias("month"), y.alias("year"))
-        )
 
-    def coordinate(self, i: int, degree_digits: int) -> Column:
-        t, hemisphere = self.text(i), self.text(i + 1)
-        degrees = F.substring(t, 1, degree_digits).try_cast("int")
-        minutes = F.substring(t, degree_digits + 1, 90).try_cast("double")
-        return F.when(
-            _all_known(degrees, minutes) & hemisphere.isin(HEMISPHERES),
-            F.struct(degrees.alias("degrees"), minutes.alias("minutes"), hemisphere.alias("hemisphere")),
-        )
+def _day(t: Column) -> Column:
+    d, m, y = (F.substring(t, at, 2).try_cast("int") for at in (1, 3, 5))
+    return F.when(t == "", F.expr(INITIAL_STATE["date"])).when(
+        _all_known(d, m, y), F.struct(d.alias("day"), m.alias("month"), y.alias("year"))
+    )
 
 
-def _all_known(*cols: Column) -> Column:
-    return reduce(and_, [c.isNotNull() for c in cols])
-
+def _coordinate(t: Column, hemisphere: Column, degree_digits: int) -> Column:
+    degrees = F.substring(t, 1, degree_digits).try_cast("int")
+    minutes = F.substring(t, degree_digits + 1, 90).try_cast("double")
+    return F.when(
+        _all_known(degrees, minutes) & hemisphere.isin(HEMISPHERES),
+        F.struct(degrees.alias("degrees"), minutes.alias("minutes"), hemisphere.alias("hemisphere")),
+    )
 
-def _cleared(name: str) -> Column:
-    return F.expr(INITIAL_STATE[name])
 
+def number_texts(kind: Column, fields: Column) -> Column:
+    """Satellite numbers as written: up to twelve in GSA, one per block of four fields in GSV.
 
-def _fix_sentence(
-    time: Column, date: Column | None, flag: Column, when_active: dict[str, Column]
-) -> dict[str, Column]:
-    """RMC and GLL: a sentence that is not active clears the position, a broken active one leaves it."""
-    dated = time.isNotNull() if date is None else _all_known(time, date)
-    known, active = dated & flag.isNotNull(), flag == "A"
-    good = known & active & _all_known(*when_active.values())
-    out = {n: F.when(good, v).when(known & ~active, _cleared(n)) for n, v in when_active.items()}
-    out |= {"time": time, "valid": F.when(good, True).when(known & ~active, False)}
-    if date is not None:
-        out["date"] = F.when(time.isNotNull(), date)
-    return out | {"parsed": good | (known & ~active), "has_fix": good}
-
-
-def recommended_minimum(f: _Fields, hour_offset: int) -> dict[str, Column]:
-    values = {
-        "latitude": f.coordinate(3, 2),
-        "longitude": f.coordinate(5, 3),
-        "speed_knots": f.number(7),
-        "course": f.number_or_zero(8),
-    }
-    return _fix_sentence(f.clock(1, hour_offset), f.day(9), f.text(2), values)
+    GSV lists four satellites per sentence and the rest in the last one; only what the sentence holds is read.
+    """
+    total, index, view = (F.get(fields, F.lit(PLACES[n]["GSV"])).try_cast("int") for n in ("sv_total", "sv_index", "sv_view"))
+    blocks = F.when(total == index, view - (total - 1) * 4).otherwise(4)
+    in_view = F.filter(fields, lambda t, i: (i >= 4) & (i % 4 == 0) & (i < blocks * 4 + 4))
+    return F.when(kind == "GSA", F.slice(fields, 4, 12)).when(kind == "GSV", in_view)
 
 
-def geographic_position(f: _Fields, hour_offset: int) -> dict[str, Column]:
-    values = {"latitude": f.coordinate(1, 2), "longitude": f.coordinate(3, 3)}
-    return _fix_sentence(f.clock(5, hour_offset), None, f.text(6), values)
+def whole_numbers_until_blank(texts: Column) -> Column:
+    """The first blank ends the list; a text that is no number is NULL."""
+    blank = F.array_position(texts, "").cast("int")
+    listed = F.slice(texts, F.lit(1), F.when(blank > 0, blank - 1).otherwise(F.size(texts)))
+    return F.transform(listed, lambda t: t.try_cast("int"))
 
 
-def course_over_ground(f: _Fields, hour_offset: int) -> dict[str, Column]:
-    course, speed = f.number_or_zero(1), f.number_or_zero(5)
-    good = _all_known(course, speed)
-    return {"course": F.when(good, course), "speed_knots": F.when(good, speed), "parsed": good}
+def _satellites(prns: Column, fields: Column) -> Column:
+    """A satellite's elevation, azimuth and signal follow its number; each is NULL where it does not read."""
+    whole = lambda at: F.get(fields, at).try_cast("int")
+    return F.transform(
+        prns,
+        lambda prn, j: F.struct(
+            prn.alias("prn"),
+            whole(j * 4 + 5).alias("elevation"),
+            whole(j * 4 + 6).alias("azimuth"),
+            whole(j * 4 + 7).alias("snr"),
+        ),
+    )
 
 
-def fix_data(f: _Fields, hour_offset: int) -> dict[str, Column]:
-    """GGA: without a fix the old position stays; height and geoid are both 0 unless both read."""
-    time, lat, lon = f.clock(1, hour_offset), f.coordinate(2, 2), f.coordinate(4, 3)
-    used, fix_stat, altitude, geoid = f.whole(7), f.whole(6), f.number(9), f.number(11)
-    fixed = fix_stat != 0
-    good = _all_known(time, used, fix_stat) & (~fixed | _all_known(lat, lon))
-    heights = _all_known(altitude, geoid)
-    return {
-        "time": F.when(good, time),
-        "satellites_in_use": F.when(good, used),
-        "hdop": F.when(good, F.coalesce(f.number(8), F.lit(0.0))),
-        "fix_stat": F.when(good, fix_stat),
-        "latitude": F.when(good & fixed, lat),
-        "longitude": F.when(good & fixed, lon),
-        "altitude": F.when(good & fixed, F.when(heights, altitude).otherwise(F.lit(0.0))),
-        "geoid_height": F.when(good & fixed, F.when(heights, geoid).otherwise(F.lit(0.0))),
-        "parsed": good,
-        "has_fix": good & fixed,
+def read_values(kind: Column, fields: Column, hour_offset: int = 0) -> dict[str, Column]:
+    """Every value a sentence of this kind carries, read once; NULL if it is missing or does not read."""
+
+    def text(name: str) -> Column:
+        hits = [(kind == k, F.get(fields, F.lit(i))) for k, i in PLACES[name].items()]
+        first = F.when(*hits[0])
+        return reduce(lambda w, hit: w.when(*hit), hits[1:], first)
+
+    def number(name: str, blank: float | None = None) -> Column:
+        t = text(name)
+        return t.try_cast("double") if blank is None else F.when(t == "", F.lit(blank)).otherwise(t.try_cast("double"))
+
+    whole = {n: text(n).try_cast("int") for n in ("fix_stat", "used", "fix_type", "sv_total", "sv_index", "sv_view")}
+    return whole | {
+        "clock": _clock(text("clock"), hour_offset),
+        "day": _day(text("day")),
+        "flag": text("flag"),
+        "lat": _coordinate(text("lat"), text("lat_hemisphere"), 2),
+        "lon": _coordinate(text("lon"), text("lon_hemisphere"), 3),
+        # a blank speed is an error in RMC and zero in VTG
+        "speed": F.when((kind == "VTG") & (text("speed") == ""), F.lit(0.0)).otherwise(number("speed")),
+        "course": number("course", blank=0.0),
+        "hdop": number("hdop"),
+        "altitude": number("altitude"),
+        "geoid": number("geoid"),
+        "pdop": number("pdop"),
+        "vdop": number("vdop"),
     }
 
 
-def _until_blank(texts: Column) -> Column:
-    filled = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
-    blank = F.array_position(filled, "")
-    return F.when(blank == 0, filled).otherwise(F.slice(filled, F.lit(1), (blank - 1).cast("int")))
-
-
-def _whole_numbers(texts: Column) -> Column:
-    return F.transform(texts, lambda t: t.try_cast("int"))
+def _cleared(name: str) -> Column:
+    return F.expr(INITIAL_STATE[name])
 
 
-def active_satellites(f: _Fields, hour_offset: int) -> dict[str, Column]:
-    """GSA: up to twelve satellite numbers, the first blank ends them."""
-    numbers = _whole_numbers(_until_blank(F.slice(f.all, 4, 12)))
-    fix_type, pdop, hdop, vdop = f.whole(2), f.number(15), f.number(16), f.number(17)
-    good = _all_known(fix_type, pdop, hdop, vdop) & ~F.exists(numbers, lambda n: n.isNull())
-    values = {"fix_type": fix_type, "satellites_used": numbers, "pdop": pdop, "hdop": hdop, "vdop": vdop}
-    return {n: F.when(good, v) for n, v in values.items()} | {"parsed": good, "has_fix": good & (fix_type > NO_FIX)}
+def verdicts(kind: Column, v: dict[str, Column]) -> dict[str, Column]:
+    """What each sentence amounts to, from the values that were read; every verdict is true or false.
+
+    RMC and GLL are active or clear the position; a broken active one does neither.
+    """
+    place = _all_known(v["lat"], v["lon"])
+    rmc, gll, vtg, gga, gsa, gsv = (kind == k for k in KINDS)
+    flagged = v["clock"].isNotNull() & v["flag"].isNotNull() & (gll | v["day"].isNotNull())
+    moving = _all_known(v["speed"], v["course"])
+    listed = ~F.exists(v["prns"], lambda n: n.isNull())
+    gga_good = gga & _all_known(v["clock"], v["used"], v["fix_stat"]) & ((v["fix_stat"] == 0) | place)
+    found = {
+        "active": (rmc | gll) & flagged & (v["flag"] == "A") & place & (gll | moving),
+        "cleared": (rmc | gll) & flagged & (v["flag"] != "A"),
+        "vtg_good": vtg & moving,
+        "gga_good": gga_good,
+        "gga_fixed": gga_good & (v["fix_stat"] != 0),
+        "gsa_good": gsa & _all_known(v["fix_type"], v["pdop"], v["hdop"], v["vdop"]) & listed,
+        "gsv_good": gsv & _all_known(v["sv_total"], v["sv_index"], v["sv_view"]) & listed,
+    }
+    return {n: F.coalesce(c, F.lit(False)) for n, c in found.items()}
 
 
-def satellites_in_view(f: _Fields, hour_offset: int) -> dict[str, Column]:
-    """GSV: four satellites per sentence, the rest in the last one; only what the sentence really holds is read."""
-    total, index, view = f.whole(1), f.whole(2), f.whole(3)
-    listed = F.when(total == index, view - (total - 1) * 4).otherwise(F.lit(4))
-    blocks = F.least(listed, F.size(f.all))
-    prn_texts = F.when(
-        blocks > 0, F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: f.text(j * 4 + 4))
-    ).otherwise(F.expr("cast(array() as array<string>)"))
-    numbers = _whole_numbers(_until_blank(prn_texts))
-    good = _all_known(total, index, view) & ~F.exists(numbers, lambda n: n.isNull())
-    satellites = F.transform(
-        numbers,
-        lambda prn, j: F.struct(
-            prn.alias("prn"),
-            f.whole(j * 4 + 5).alias("elevation"),
-            f.whole(j * 4 + 6).alias("azimuth"),
-            f.whole(j * 4 + 7).alias("snr"),
-        ),
-    )
-    values = {"sv_sentences": total, "sv_sentence": index, "satellites_in_view": view, "satellites": satellites}
-    return {n: F.when(good, v) for n, v in values.items()} | {"parsed": good}
+def is_parsed(verdict: dict[str, Column]) -> Column:
+    return reduce(or_, [verdict[n] for n in ("active", "cleared", "vtg_good", "gga_good", "gsa_good", "gsv_good")])
 
 
-KINDS = {
-    "RMC": recommended_minimum,
-    "GLL": geographic_position,
-    "VTG": course_over_ground,
-    "GGA": fix_data,
-    "GSA": active_satellites,
-    "GSV": satellites_in_view,
-}
-SET_COLUMNS = [*INITIAL_STATE, "satellites"]
+def state_changes(kind: Column, fields: Column, v: dict[str, Column], verdict: dict[str, Column]) -> dict[str, Column]:
+    """What each sentence sets, NULL where it leaves a value as it is; and whether it is understood and has a fix.
 
+    GGA: without a fix the old position stays; height and geoid are both 0 unless both read.
+    """
+    rmc, gll = kind == "RMC", kind == "GLL"
+    active, cleared = verdict["active"], verdict["cleared"]
+    gga_good, gga_fixed = verdict["gga_good"], verdict["gga_fixed"]
+    gsa_good, gsv_good = verdict["gsa_good"], verdict["gsv_good"]
+    heights = _all_known(v["altitude"], v["geoid"])
 
-def decoded(kind: Column, fields: Column, hour_offset: int = 0, columns: list[str] | None = None) -> list[Column]:
-    """One column per value a sentence may set, then ``parsed`` and ``has_fix``."""
-    by_kind = {k: rule(_Fields(fields), hour_offset) for k, rule in KINDS.items()}
+    def position(name: str, value: Column) -> Column:
+        return F.when(active | gga_fixed, value).when(cleared, _cleared(name))
 
-    def value(name: str) -> Column:
-        hits = [F.when(kind == k, values[name]) for k, values in by_kind.items() if name in values]
-        return F.coalesce(*hits)
+    def motion(name: str, value: Column) -> Column:
+        return F.when((rmc & active) | verdict["vtg_good"], value).when(rmc & cleared, _cleared(name))
 
-    wanted = columns if columns is not None else SET_COLUMNS
-    flags = [F.coalesce(value(n), F.lit(False)).alias(n) for n in ("parsed", "has_fix")]
-    return [value(n).alias(n) for n in wanted] + flags
+    return {
+        "time": F.when(rmc | gll | gga_good, v["clock"]),
+        "date": F.when(v["clock"].isNotNull(), v["day"]),
+        "latitude": position("latitude", v["lat"]),
+        "longitude": position("longitude", v["lon"]),
+        "speed_knots": motion("speed_knots", v["speed"]),
+        "course": motion("course", v["course"]),
+        "valid": F.when(active, True).when(cleared, False),
+        "altitude": F.when(gga_fixed, F.when(heights, v["altitude"]).otherwise(0.0)),
+        "geoid_height": F.when(gga_fixed, F.when(heights, v["geoid"]).otherwise(0.0)),
+        "satellites_in_use": F.when(gga_good, v["used"]),
+        "hdop": F.when(gga_good, F.coalesce(v["hdop"], F.lit(0.0))).when(gsa_good, v["hdop"]),
+        "pdop": F.when(gsa_good, v["pdop"]),
+        "vdop": F.when(gsa_good, v["vdop"]),
+        "fix_stat": F.when(gga_good, v["fix_stat"]),
+        "fix_type": F.when(gsa_good, v["fix_type"]),
+        "satellites_used": F.when(gsa_good, v["prns"]),
+        "satellites_in_view": F.when(gsv_good, v["sv_view"]),
+        "sv_sentences": F.when(gsv_good, v["sv_total"]),
+        "sv_sentence": F.when(gsv_good, v["sv_index"]),
+        "satellites": F.when(gsv_good, _satellites(v["prns"], fields)),
+        "parsed": is_parsed(verdict),
+        "has_fix": active | gga_fixed | (gsa_good & (v["fix_type"] > NO_FIX)),
+    }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barograph.functions import compensation as C
+from barograph.operators.once import computed_once
 
 
 def unpack_readings(bursts: DataFrame) -> DataFrame:
@@ -35,16 +36,18 @@ def calibrate(raw: DataFrame, calibration: DataFrame, t2_preshift: bool = True,
     def group(letter: str) -> list:
         return [F.col(n) for n in C.CALIBRATION if n.startswith(f"dig_{letter}")]
 
-    fine = wide.withColumn("t_fine", C.fine_temperature(F.col("raw_temp"), group("T"), t2_preshift))
-    t_fine = F.col("t_fine")
-    values = fine.select(
-        "device_id",
-        "reading_id",
-        "t_fine",
-        C.temperature(t_fine).alias("temperature"),
-        C.pressure(F.col("raw_press"), t_fine, group("P")).alias("pressure"),
-        C.humidity(F.col("raw_hum"), t_fine, group("H")).alias("humidity"),
-    )
+    # each stage is worked out once: written as one expression the stages would be repeated in each other
+    raw_press, t_fine, p, h = F.col("raw_press"), F.col("t_fine"), group("P"), group("H")
+    fine = computed_once(wide, {"t_fine": C.fine_temperature(F.col("raw_temp"), group("T"), t2_preshift)})
+    terms = C.pressure_terms(t_fine, p) | {"h_product": C.humidity_product(F.col("raw_hum"), t_fine, h)}
+    staged = computed_once(fine, terms)
+    staged = computed_once(staged, {"p_quotient": C.pressure_quotient(raw_press, F.col("p_offset"), F.col("p_scale"))})
+    results = {
+        "temperature": C.temperature(t_fine),
+        "pressure": C.pressure(F.col("p_quotient"), F.col("p_scale"), p),
+        "humidity": C.humidity(F.col("h_product"), h),
+    }
+    values = computed_once(staged, results).select("device_id", "reading_id", "t_fine", *results)
     return values.select(
         "*",
         C.temperature_text(F.col("temperature")).alias("temperature_text"),

@@ -7,7 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barograph.functions import positions as P
-from barograph.functions.sentences import INITIAL_STATE, SUPPORTED, body_of, decoded, sentence_starts, sentence_status
+from barograph.functions.sentences import (
+    INITIAL_STATE,
+    KINDS,
+    SET_COLUMNS,
+    SUPPORTED,
+    body_of,
+    is_parsed,
+    number_texts,
+    read_values,
+    sentence_starts,
+    sentence_status,
+    state_changes,
+    verdicts,
+    whole_numbers_until_blank,
+)
+from barograph.operators.once import computed_once
 from barograph.operators.ordered import carry_forward
 
 ORDER = ["seq", "part"]
@@ -17,39 +32,56 @@ BUCKET_LINES = 65_536
 
 
 def framed(lines: DataFrame) -> DataFrame:
-    """One row per sentence start (``part`` counts within a line), with its status and fields."""
-    extra = [c for c in lines.columns if c not in ("line",)]
+    """One row per sentence start (``part`` counts within a line), with its status, name and fields."""
+    extra = [c for c in lines.columns if c != "line"]
     pieces = lines.select(*extra, F.posexplode_outer(sentence_starts(F.col("line"))).alias("part", "piece"))
-    bodies = pieces.withColumn("body", body_of(F.col("piece")))
-    return bodies.select(
-        *extra,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        sentence_status(F.col("piece"), F.col("body")).alias("status"),
-        F.split("body", ",").alias("fields"),
-    )
+    bodies = computed_once(pieces, {"body": body_of(F.col("piece"))})
+    return computed_once(
+        bodies.select(*extra, F.coalesce("part", F.lit(0)).alias("part"), "piece", "body"),
+        {"status": sentence_status(F.col("piece"), F.col("body")), "fields": F.split("body", ",")},
+    ).drop("piece", "body")
+
+
+def _supported(rows: DataFrame) -> DataFrame:
+    name = F.col("fields")[0]
+    clean = rows.where((F.col("status") == "clean") & name.isin(SUPPORTED))
+    return clean.withColumn("kind", F.right(name, F.lit(3)))
+
+
+def _judged(rows: DataFrame, hour_offset: int) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """Sentences with the values read and the verdicts on them, in stages so that each is worked out once."""
+    kind, fields = F.col("kind"), F.col("fields")
+    texts = read_values(kind, fields, hour_offset) | {"texts": number_texts(kind, fields)}
+    read = computed_once(rows, {f"_{n}": c for n, c in texts.items()})
+    read = computed_once(read, {"_prns": whole_numbers_until_blank(F.col("_texts"))})
+    values = {n: F.col(f"_{n}") for n in [*texts, "prns"]}
+    found = verdicts(kind, values)
+    judged = computed_once(read, {f"_is_{n}": c for n, c in found.items()})
+    return judged, values, {n: F.col(f"_is_{n}") for n in found}
 
 
 def decode(lines: DataFrame, hour_offset: int = 0, columns: list[str] | None = None) -> DataFrame:
     """Clean sentences of the supported kinds with the values each one sets."""
-    rows = framed(lines).where((F.col("status") == "clean") & F.col("fields")[0].isin(SUPPORTED))
-    extra = [c for c in rows.columns if c not in ("status", "fields")]
-    kind = F.right(F.col("fields")[0], F.lit(3))
-    return rows.select(*extra, kind.alias("kind"), *decoded(kind, F.col("fields"), hour_offset, columns))
+    rows = _supported(framed(lines))
+    extra = [c for c in rows.columns if c not in ("status", "fields", "kind")]
+    judged, values, verdict = _judged(rows, hour_offset)
+    changes = state_changes(F.col("kind"), F.col("fields"), values, verdict)
+    wanted = [*(columns if columns is not None else SET_COLUMNS), "parsed", "has_fix"]
+    return judged.select(*extra, "kind", *[changes[c].alias(c) for c in wanted])
 
 
 def sentence_quality(lines: DataFrame) -> DataFrame:
     """Per device: sentences begun, clean ones, checksum failures, unreadable checksums, understood ones per kind."""
     rows = framed(lines)
     name = F.col("fields")[0]
-    kind = F.when((F.col("status") == "clean") & name.isin(SUPPORTED), F.right(name, F.lit(3)))
-    parsed = F.element_at(F.array(*decoded(kind, F.col("fields"), columns=[])), 1)
-    rows = rows.select("device_id", "status", kind.alias("kind"), parsed.alias("parsed"))
-    per_kind = [F.count_if(F.col("parsed") & (F.col("kind") == k)).alias(k.lower()) for k in ("RMC", "GLL", "VTG", "GGA", "GSA", "GSV")]
-    return rows.groupBy("device_id").agg(
+    supported = (F.col("status") == "clean") & name.isin(SUPPORTED)
+    judged, _, verdict = _judged(rows.withColumn("kind", F.when(supported, F.right(name, F.lit(3)))), 0)
+    counted = judged.select("device_id", "status", F.when(is_parsed(verdict), F.col("kind")).alias("kind"))
+    return counted.groupBy("device_id").agg(
         F.count("*").alias("sentences"),
         *[F.count_if(F.col("status") == s).alias(s) for s in ("clean", "crc_failed", "bad_hex", "incomplete")],
-        F.count_if("parsed").alias("parsed"),
-        *per_kind,
+        F.count("kind").alias("parsed"),
+        *[F.count_if(F.col("kind") == k).alias(k.lower()) for k in KINDS],
     )
 
 

@@ -43,8 +43,8 @@ def skip_warm_up(messages: DataFrame, last_skipped_offset: int | None = 2) -> Da
 def parse_documents(messages: DataFrame, schema: T.StructType = DOCUMENT) -> DataFrame:
     """The envelope plus the document's top fields.
 
-    ``inline`` over a one-element array keeps Catalyst from pushing a later filter on a parsed field
-    below the parse, where ``from_json`` would run a second time for every message.
+    The document is parsed once per message, also where a parsed field is filtered on later
+    (see ``computed_once``; here the struct is the document itself).
     """
     return messages.select(
         "topic",
