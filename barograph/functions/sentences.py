@@ -60,14 +60,17 @@ def body_of(piece: Column) -> Column:
     return F.when(F.contains(piece, F.lit("*")), F.substring_index(piece, "*", 1))
 
 
-def sentence_status(piece: Column, body: Column) -> Column:
-    """``clean``, ``crc_failed``, ``bad_hex``, or ``incomplete`` (no star, no two digits, or too long)."""
+def sentence_status(piece: Column, body: Column, expected: Column) -> Column:
+    """``clean``, ``crc_failed``, ``bad_hex``, or ``incomplete`` (no star, no two digits, or too long).
+
+    ``expected`` is the body's checksum.
+    """
     digits = F.substring(piece, F.length(body) + 2, F.lit(2))
     too_long = F.length(body) + 3 > LAST_CHECKSUM_CHARACTER
     return (
         F.when(body.isNull() | (F.length(digits) < 2) | too_long, "incomplete")
         .when(~digits.rlike("^[0-9A-Fa-f]{2}$"), "bad_hex")
-        .when(F.conv(digits, 16, 10).cast("int") == checksum(body), "clean")
+        .when(F.conv(digits, 16, 10).cast("int") == expected, "clean")
         .otherwise("crc_failed")
     )
 
@@ -147,6 +150,10 @@ def whole_numbers_until_blank(texts: Column) -> Column:
     return F.transform(listed, lambda t: t.try_cast("int"))
 
 
+def all_read(numbers: Column) -> Column:
+    return ~F.exists(numbers, lambda n: n.isNull())
+
+
 def _satellites(prns: Column, fields: Column) -> Column:
     """A satellite's elevation, azimuth and signal follow its number; each is NULL where it does not read."""
     whole = lambda at: F.get(fields, at).try_cast("int")
@@ -204,7 +211,7 @@ def verdicts(kind: Column, v: dict[str, Column]) -> dict[str, Column]:
     rmc, gll, vtg, gga, gsa, gsv = (kind == k for k in KINDS)
     flagged = v["clock"].isNotNull() & v["flag"].isNotNull() & (gll | v["day"].isNotNull())
     moving = _all_known(v["speed"], v["course"])
-    listed = ~F.exists(v["prns"], lambda n: n.isNull())
+    listed = v["prns_read"]
     gga_good = gga & _all_known(v["clock"], v["used"], v["fix_stat"]) & ((v["fix_stat"] == 0) | place)
     found = {
         "active": (rmc | gll) & flagged & (v["flag"] == "A") & place & (gll | moving),

@@ -12,7 +12,9 @@ from barograph.functions.sentences import (
     KINDS,
     SET_COLUMNS,
     SUPPORTED,
+    all_read,
     body_of,
+    checksum,
     is_parsed,
     number_texts,
     read_values,
@@ -36,10 +38,10 @@ def framed(lines: DataFrame) -> DataFrame:
     extra = [c for c in lines.columns if c != "line"]
     pieces = lines.select(*extra, F.posexplode_outer(sentence_starts(F.col("line"))).alias("part", "piece"))
     bodies = computed_once(pieces, {"body": body_of(F.col("piece"))})
-    return computed_once(
-        bodies.select(*extra, F.coalesce("part", F.lit(0)).alias("part"), "piece", "body"),
-        {"status": sentence_status(F.col("piece"), F.col("body")), "fields": F.split("body", ",")},
-    ).drop("piece", "body")
+    part = F.coalesce("part", F.lit(0)).alias("part")
+    summed = bodies.select(*extra, part, "piece", "body", checksum(F.col("body")).alias("expected"))
+    status = sentence_status(F.col("piece"), F.col("body"), F.col("expected"))
+    return computed_once(summed, {"status": status, "fields": F.split("body", ",")}).drop("piece", "body", "expected")
 
 
 def _supported(rows: DataFrame) -> DataFrame:
@@ -51,10 +53,14 @@ def _supported(rows: DataFrame) -> DataFrame:
 def _judged(rows: DataFrame, hour_offset: int) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
     """Sentences with the values read and the verdicts on them, in stages so that each is worked out once."""
     kind, fields = F.col("kind"), F.col("fields")
-    texts = read_values(kind, fields, hour_offset) | {"texts": number_texts(kind, fields)}
-    read = computed_once(rows, {f"_{n}": c for n, c in texts.items()})
-    read = computed_once(read, {"_prns": whole_numbers_until_blank(F.col("_texts"))})
-    values = {n: F.col(f"_{n}") for n in [*texts, "prns"]}
+    single = read_values(kind, fields, hour_offset)
+    read = (
+        computed_once(rows, {f"_{n}": c for n, c in single.items()})
+        .withColumn("_texts", number_texts(kind, fields))
+        .withColumn("_prns", whole_numbers_until_blank(F.col("_texts")))
+        .withColumn("_prns_read", all_read(F.col("_prns")))
+    )
+    values = {n: F.col(f"_{n}") for n in [*single, "prns", "prns_read"]}
     found = verdicts(kind, values)
     judged = computed_once(read, {f"_is_{n}": c for n, c in found.items()})
     return judged, values, {n: F.col(f"_is_{n}") for n in found}
