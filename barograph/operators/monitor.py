@@ -16,11 +16,11 @@ SEND_SECONDS = 2.0
 def source_freshness(readings: DataFrame, as_of: Column | None = None, threshold: int = FRESH_SECONDS) -> DataFrame:
     """Each source's last message and whether it is still online.
 
-    The moment to judge by defaults to the newest message of all, a one-row subquery.
+    The moment to judge by defaults to the newest message of all: a one-row subquery over the per-source result.
     """
     seen = readings.groupBy(F.col("picow_local_ip").alias("source_ip")).agg(F.max("read_datetime").alias("last_seen"))
     if as_of is None:
-        as_of = readings.agg(F.max("read_datetime")).scalar()
+        as_of = seen.agg(F.max("last_seen")).scalar()
     silent = (F.unix_micros(as_of) - F.unix_micros("last_seen")) / F.lit(1e6)
     return seen.select(
         "source_ip", "last_seen", silent.alias("silent_seconds"), online_text(silent <= threshold).alias("status")

@@ -38,7 +38,10 @@ def previous_row(
 ) -> DataFrame:
     """Each row with ``columns`` of the row before it in its key; NULLs on a key's first row."""
     rows = df.withColumn(_BUCKET, bucket).withColumn(_ROW, F.struct(*columns))
-    last = rows.groupBy(*keys, _BUCKET).agg(F.max_by(_ROW, _rank_key(order)).alias(_ROW))
+    # a last row's leading order column is the largest one, and a plain maximum aggregates by hashing
+    leading = columns == order[:1]
+    newest = F.struct(F.max(order[0]).alias(order[0])) if leading else F.max_by(_ROW, _rank_key(order))
+    last = rows.groupBy(*keys, _BUCKET).agg(newest.alias(_ROW))
     carried = last.withColumn(_ROW, F.lag(_ROW).over(W.partitionBy(*keys).orderBy(_BUCKET))).where(
         F.col(_ROW).isNotNull()
     )

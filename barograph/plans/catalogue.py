@@ -237,19 +237,19 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(changes.current_rows(spark, f"{out}/changes", rows.schema, keys).select(*HOURLY_COLUMNS))
 
 
-def _streamed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shared_dir(spark, "stream_points")
+def stream_last_30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "stream_last_30")
     rows = last_points.last_points_stream(events.message_stream(spark, sf_dir))
     changes.run_available(changes.change_writer(rows, f"{out}/changes", f"{out}/checkpoint"))
-    return changes.current_rows(spark, f"{out}/changes", last_points.OUTPUT, last_points.KEYS)
-
-
-def stream_last_30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(last_points.buffered_points(_streamed_points(spark, sf_dir), per_source=False))
+    keys, schema = last_points.buffer_keys(False), last_points.buffer_schema(False)
+    return plain(last_points.buffered_points(changes.current_rows(spark, f"{out}/changes", schema, keys)))
 
 
 def stream_last_30_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(last_points.buffered_points(_streamed_points(spark, sf_dir)))
+    out = shared_dir(spark, "stream_last_30_per_source")
+    stream = events.message_stream(spark, sf_dir)
+    changes.run_available(last_points.points_writer(stream, f"{out}/points", f"{out}/checkpoint"))
+    return plain(last_points.written_points(spark, f"{out}/points"))
 
 
 def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,80 +1,98 @@
-"""The live charts' buffer of the newest points, kept by a stateful stream.
+"""The live charts' buffer of the newest points, on a stream.
 
-State is held per source and slice of the log. The newest n points of a source are among the newest n of its
-slices, so a source that sends very much is shared out over the slices and the reader merges n points from each.
+Two forms. ``points_writer`` keeps no state: every micro-batch writes its own newest points of each source, cut
+down in every task before they are shuffled, and the reader takes the newest of all batches. ``last_points_stream``
+holds the buffer in Spark's state store. There the log is dealt out over slices: the newest n points are among the
+newest n of each slice, so neither the whole log nor one busy source is ever a single group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nlargest
+from itertools import chain
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barograph.operators.live import BUFFER, live_projection
+from barograph.operators.live import BUFFER, last_points, last_points_per_source, live_projection
 
 POINT = T.StructType(
     [
-        T.StructField("micros", T.LongType()),
+        T.StructField("timestamp", T.TimestampType()),
         T.StructField("partition", T.IntegerType()),
         T.StructField("offset", T.LongType()),
+        T.StructField("picow_local_ip", T.StringType()),
         T.StructField("time", T.StringType()),
         T.StructField("bme_280_temperature", T.DoubleType()),
         T.StructField("picow_temperature", T.DoubleType()),
         T.StructField("bme_280_pressure", T.DoubleType()),
     ]
 )
-PLACE = ["micros", "partition", "offset"]
-STATE = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in POINT])
-KEYS = ["picow_local_ip", "slice"]
-OUTPUT = T.StructType([T.StructField("picow_local_ip", T.StringType()), T.StructField("slice", T.IntegerType()), *STATE.fields])
+_STORED = T.StructType([T.StructField("micros", T.LongType()), *POINT.fields[1:]])
+_STATE = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in _STORED])
+_KEY_TYPES = {"source": T.StringType(), "slice": T.IntegerType()}
 
 
-def _keep_newest(n: int):
-    names = POINT.fieldNames()
+def points_writer(messages: DataFrame, path: str, checkpoint: str, n: int = BUFFER) -> DataStreamWriter:
+    """A batch repeated after a failure overwrites its own folder."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        last_points_per_source(rows, n).drop("slot").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    points = live_projection(messages).select(*POINT.fieldNames())
+    return points.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def written_points(spark: SparkSession, path: str, n: int = BUFFER) -> DataFrame:
+    return last_points_per_source(spark.read.schema(POINT).parquet(path).select(*POINT.fieldNames()), n)
+
+
+def buffer_keys(per_source: bool) -> list[str]:
+    return ["source", "slice"] if per_source else ["slice"]
+
+
+def buffer_schema(per_source: bool) -> T.StructType:
+    return T.StructType([T.StructField(k, _KEY_TYPES[k]) for k in buffer_keys(per_source)] + _STATE.fields)
+
+
+def _keep_newest(keys: list[str], n: int):
+    names = _STORED.fieldNames()
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(dict(zip(names, state.get)), dtype=object) if state.exists else None
+        kept = list(zip(*state.get)) if state.exists else []
         for frame in frames:
-            rows = frame[names].astype(object)
-            kept = rows if kept is None else pd.concat([kept, rows])
-            kept = kept.sort_values(PLACE).tail(n)
-        columns = {c: [None if pd.isna(v) else v for v in kept[c].tolist()] for c in names}
-        state.update(tuple(columns[c] for c in names))
-        yield pd.DataFrame([{**dict(zip(KEYS, key)), **columns}])
+            rows = zip(*[frame[c].tolist() for c in names])
+            kept = nlargest(n, chain(kept, rows), key=lambda row: row[:3])
+        # a missing number arrives as NaN, the only value that differs from itself
+        columns = [[None if v != v else v for v in values] for values in zip(*reversed(kept))]
+        state.update(tuple(columns))
+        yield pd.DataFrame([dict(zip([*keys, *names], [*key, *columns]))])
 
     return step
 
 
-def last_points_stream(messages: DataFrame, n: int = BUFFER, slices: int = 8) -> DataFrame:
+def last_points_stream(messages: DataFrame, n: int = BUFFER, slices: int = 16, per_source: bool = False) -> DataFrame:
+    """The buffer of each slice (and source) whenever it changes; ``buffered_points`` puts the slices together."""
+    keys = buffer_keys(per_source)
     points = live_projection(messages).select(
-        "picow_local_ip",
-        F.pmod(F.col("offset"), F.lit(slices)).cast("int").alias("slice"),
+        F.col("picow_local_ip").alias("source"),
+        F.pmod(F.xxhash64("partition", "offset"), F.lit(slices)).cast("int").alias("slice"),
         F.unix_micros("timestamp").alias("micros"),
-        *POINT.fieldNames()[1:],
+        *_STORED.fieldNames()[1:],
     )
-    return points.groupBy(*KEYS).applyInPandasWithState(
-        _keep_newest(n), OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
+    return points.groupBy(*keys).applyInPandasWithState(
+        _keep_newest(keys, n), buffer_schema(per_source), _STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
-def buffered_points(current: DataFrame, n: int = BUFFER, per_source: bool = True) -> DataFrame:
-    """The buffer of each source, or of all sources together, from the stream's newest rows."""
-    points = current.select("picow_local_ip", F.inline(F.arrays_zip(*STATE.fieldNames())))
-    newest = [F.desc(c) for c in PLACE]
-    if per_source:
-        rank = F.row_number().over(W.partitionBy("picow_local_ip").orderBy(*newest))
-        points = points.withColumn("_rank", rank).where(F.col("_rank") <= n)
-    else:
-        points = points.orderBy(*newest).limit(n).withColumn("_rank", F.row_number().over(W.orderBy(*newest)))
-    return points.select(
-        "picow_local_ip",
-        F.timestamp_micros("micros").alias("timestamp"),
-        *[c for c in POINT.fieldNames() if c != "micros"],
-        (F.lit(n) - F.col("_rank")).alias("slot"),
-    )
+def buffered_points(current: DataFrame, n: int = BUFFER, per_source: bool = False) -> DataFrame:
+    """The buffer of all sources together, or of each source, from the newest rows of ``last_points_stream``."""
+    points = current.select(F.inline(F.arrays_zip(*_STATE.fieldNames())))
+    points = points.select(F.timestamp_micros("micros").alias("timestamp"), *_STORED.fieldNames()[1:])
+    return last_points_per_source(points, n) if per_source else last_points(points, n)
