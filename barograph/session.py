@@ -36,10 +36,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     A machine-local folder is only made up where there is a single machine anyway (a local master).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="barograph-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="barograph-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/barograph/{name}-{uuid4().hex}"
