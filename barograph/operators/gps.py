@@ -44,9 +44,10 @@ def framed(lines: DataFrame) -> DataFrame:
     return computed_once(summed, {"status": status, "fields": F.split("body", ",")}).drop("piece", "body", "expected")
 
 
-def _supported(rows: DataFrame) -> DataFrame:
+def _supported(rows: DataFrame, kinds: list[str]) -> DataFrame:
     name = F.col("fields")[0]
-    clean = rows.where((F.col("status") == "clean") & name.isin(SUPPORTED))
+    names = [n for n in SUPPORTED if n[2:] in kinds]
+    clean = rows.where((F.col("status") == "clean") & name.isin(names))
     return clean.withColumn("kind", F.right(name, F.lit(3)))
 
 
@@ -66,9 +67,11 @@ def _judged(rows: DataFrame, hour_offset: int) -> tuple[DataFrame, dict[str, Col
     return judged, values, {n: F.col(f"_is_{n}") for n in found}
 
 
-def decode(lines: DataFrame, hour_offset: int = 0, columns: list[str] | None = None) -> DataFrame:
-    """Clean sentences of the supported kinds with the values each one sets."""
-    rows = _supported(framed(lines))
+def decode(
+    lines: DataFrame, hour_offset: int = 0, columns: list[str] | None = None, kinds: list[str] = KINDS
+) -> DataFrame:
+    """Clean sentences of the supported (or fewer) kinds with the values each one sets."""
+    rows = _supported(framed(lines), kinds)
     extra = [c for c in rows.columns if c not in ("status", "fields", "kind")]
     judged, values, verdict = _judged(rows, hour_offset)
     changes = state_changes(F.col("kind"), F.col("fields"), values, verdict)
@@ -93,9 +96,9 @@ def sentence_quality(lines: DataFrame) -> DataFrame:
 
 def fixes(lines: DataFrame, hour_offset: int = 0) -> DataFrame:
     """Every sentence that brings a position of its own."""
-    rows = decode(lines, hour_offset, ["time", "latitude", "longitude"])
+    rows = decode(lines, hour_offset, ["time", "latitude", "longitude"], ["RMC", "GLL", "GGA"])
     lat, lon = F.col("latitude"), F.col("longitude")
-    return rows.where(F.col("has_fix") & lat.isNotNull()).select(
+    return rows.where("has_fix").select(
         "device_id",
         *ORDER,
         "kind",
@@ -169,9 +172,7 @@ def satellite_groups(lines: DataFrame) -> DataFrame:
     first one); a satellite named again within the group replaces what was known of it. ``complete`` tells
     whether the group's last sentence has arrived.
     """
-    gsv = decode(lines, columns=["sv_sentences", "sv_sentence", "satellites"]).where(
-        (F.col("kind") == "GSV") & F.col("parsed")
-    )
+    gsv = decode(lines, columns=["sv_sentences", "sv_sentence", "satellites"], kinds=["GSV"]).where("parsed")
     start = gsv.withColumn("group", F.when(F.col("sv_sentence") == 1, F.struct("seq", "part")))
     rows = carry_forward(start, ["device_id"], ORDER, _line_bucket(), ["group"])
     keys = ["device_id", "group"]

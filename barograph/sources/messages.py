@@ -8,12 +8,30 @@ from barograph.schema import MESSAGES
 from barograph.session import pin_utc
 
 
-def kafka_options(servers: str, topic: str, starting: str | None = None, ending: str | None = None) -> dict[str, str]:
+def spread_single_task(df: DataFrame) -> DataFrame:
+    """An input that a single task would scan is dealt out to all cores before the costly parse.
+
+    One task scans at most one file split, which bounds what is moved; larger inputs stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() == 1 < cores else df
+
+
+def kafka_options(
+    servers: str,
+    topic: str,
+    starting: str | None = None,
+    ending: str | None = None,
+    min_partitions: int | None = None,
+) -> dict[str, str]:
     """Options of a topic scan. A batch scan runs from earliest to latest unless offsets are given.
 
-    Pinning ``ending`` once per run keeps several result tables on the same snapshot.
+    Pinning ``ending`` once per run keeps several result tables on the same snapshot. ``min_partitions`` splits a
+    topic of few partitions by ranges of offsets, without a shuffle.
     """
     options = {"kafka.bootstrap.servers": servers, "subscribe": topic}
+    if min_partitions:
+        options["minPartitions"] = str(min_partitions)
     if starting:
         options["startingOffsets"] = starting
     if ending:
@@ -21,9 +39,17 @@ def kafka_options(servers: str, topic: str, starting: str | None = None, ending:
     return options
 
 
-def read_topic(spark: SparkSession, servers: str, topic: str, starting: str | None = None, ending: str | None = None) -> DataFrame:
+def read_topic(
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    starting: str | None = None,
+    ending: str | None = None,
+    min_partitions: int | None = None,
+) -> DataFrame:
     """Batch scan of a topic; needs Spark's Kafka connector on the class path."""
-    reader = pin_utc(spark).read.format("kafka").options(**kafka_options(servers, topic, starting, ending))
+    options = kafka_options(servers, topic, starting, ending, min_partitions)
+    reader = pin_utc(spark).read.format("kafka").options(**options)
     return reader.load().select(*MESSAGES.fieldNames())
 
 
@@ -35,7 +61,7 @@ def stream_topic(spark: SparkSession, servers: str, topic: str, starting: str =
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A landed log: Parquet with the envelope's columns."""
-    return pin_utc(spark).read.schema(MESSAGES).parquet(path).select(*MESSAGES.fieldNames())
+    return spread_single_task(pin_utc(spark).read.schema(MESSAGES).parquet(path).select(*MESSAGES.fieldNames()))
 
 
 def stream_log(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -56,8 +56,8 @@ def test_missing_address_is_a_group(log):
     assert {r.source_ip: r.messages for r in df.collect()} == {"10.0.0.1": 2, None: 1}
 
 
-def test_no_sort_and_a_partial_aggregate_below_the_shuffle(parsed):
-    df = rollup.hourly_rollup(parsed)
+def test_no_sort_and_a_partial_aggregate_below_the_shuffle(log):
+    df = rollup.hourly_rollup(readings.parse_readings(log(document(1))))
     assert "Sort" not in optimized(df)
     assert "partial_sum" in plan(df) and plan(df).count("Exchange") == 1
 

@@ -46,10 +46,17 @@ class Recorder:
 
 def test_kafka_options():
     assert messages.kafka_options("h:1", "t") == {"kafka.bootstrap.servers": "h:1", "subscribe": "t"}
+    assert messages.kafka_options("h:1", "t", min_partitions=64)["minPartitions"] == "64"
     pinned = messages.kafka_options("h:1", "t", "earliest", '{"t": {"0": 9}}')
     assert (pinned["startingOffsets"], pinned["endingOffsets"]) == ("earliest", '{"t": {"0": 9}}')
 
 
+def test_only_an_input_of_one_task_is_dealt_out(spark):
+    one, many = spark.range(9).coalesce(1), spark.range(0, 9, 1, 3)
+    assert messages.spread_single_task(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert messages.spread_single_task(many) is many
+
+
 def test_records_to_publish(log):
     df = message_sinks.payload_rows(log(document(1)))
     assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("key", "binary"), ("value", "binary")]
