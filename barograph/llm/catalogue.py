@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import mixing, rules, urls
+from barograph.llm import mixing, rules, simhash, topk, urls, warc
 from barograph.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -26,14 +26,33 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the component of near copies that it is in."""
+    return simhash.near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each document's words, symbols and repeats, and whether it is kept."""
     judged = rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_chars", "base_failed", "kept")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector with the others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the records say that the pages were written to."""
+    read = warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filters": op2_url_filters,
+    "op3_simhash": op3_simhash,
     "op6_quality_rules": op6_quality_rules,
+    "op8_top_k": op8_top_k,
+    "op9_warc": op9_warc,
 }

@@ -68,4 +68,18 @@ x as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))
 select * exclude (chars), n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
     not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost_chars <= {rules.LOST_SHARE} * chars as kept from x"""
 
-ORACLE = {"op1_mixing": _OP1, "op2_url_filters": _OP2, "op6_quality_rules": _OP6}
+_OP8 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint as score
+    from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from s)
+select * from r where rank <= 5"""
+
+_OP9 = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f"""
+
+ORACLE = {"op1_mixing": _OP1, "op2_url_filters": _OP2, "op6_quality_rules": _OP6, "op8_top_k": _OP8, "op9_warc": _OP9}
