@@ -37,3 +37,39 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(starts, starts[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first), data[starts[first] : starts[last]], starts[first : last + 1] - starts[first]
             first = last
+
+
+_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+#: Multiplier of range hashes: any odd number has an inverse modulo 2^64.
+_ODD = 0x9E3779B97F4A7C15
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+
+
+def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in texts that follow each other; a word never goes over the end of its text."""
+    blank = _BLANK[data]
+    opens = ~blank
+    opens[1:] &= blank[:-1]
+    own = starts[:-1][starts[:-1] < len(data)]
+    opens[own] |= ~blank[own]
+    begin = np.flatnonzero(opens)
+    stops = np.append(np.flatnonzero(blank), len(data))
+    end = stops[np.searchsorted(stops, begin)]
+    return begin, np.minimum(end, starts[np.minimum(np.searchsorted(starts, begin, "right"), len(starts) - 1)])
+
+
+class RangeHash:
+    """64-bit hashes of byte ranges, from running sums of byte * odd^place; equal ranges have equal hashes."""
+
+    def __init__(self, data: np.ndarray):
+        powers = np.cumprod(np.full(len(data) + 1, _ODD, np.uint64), dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
+        self.shifts = np.cumprod(np.full(len(data) + 1, pow(_ODD, -1, 1 << 64), np.uint64), dtype=np.uint64)
+
+    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[begin]) * self.shifts[begin])
