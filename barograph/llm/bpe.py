@@ -17,9 +17,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from barograph.llm.textbatch import slices
+from barograph.llm.textbatch import slices, with_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Words whose ids a task keeps before it starts anew, and the bytes of text it takes at a time.
@@ -192,11 +193,11 @@ def gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return values[np.repeat(starts - out[:-1], lengths) + np.arange(out[-1])], out
 
 
-def _encoded(ranks, columns: list[str]):
+def _encoded(ranks, text: str, columns: list[str]):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value)
-        for batch, _, _ in slices(batches, "text", SLICE):
-            ids, ends = codec.encode([t or "" for t in batch.column("text").to_pylist()])
+        for batch, _, _ in slices(batches, text, SLICE):
+            ids, ends = codec.encode([t or "" for t in batch.column(text).to_pylist()])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), tokens], names=[*columns, "tokens"])
 
@@ -218,21 +219,21 @@ def _decoded(ranks, columns: list[str]):
     return decoded
 
 
-def _digests(ranks, columns: list[str]):
+def _digests(ranks, text: str, columns: list[str]):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value)
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch, _, _ in slices(batches, "text", SLICE):
-            ids, ends = codec.encode([t or "" for t in batch.column("text").to_pylist()])
-            text, at = codec.decode(ids, ends)
+        for batch, _, _ in slices(batches, text, SLICE):
+            ids, ends = codec.encode([t or "" for t in batch.column(text).to_pylist()])
+            raw, at = codec.decode(ids, ends)
             listed, places = codec.decimals(ids, ends)
-            text, listed, at, places = memoryview(text), memoryview(listed), at.tolist(), places.tolist()
+            raw, listed, at, places = memoryview(raw), memoryview(listed), at.tolist(), places.tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in columns),
                     pa.array(np.diff(ends), pa.int64()),
                     pa.array([sha(listed[a : max(a, b - 1)]) for a, b in zip(places, places[1:], strict=False)]),
-                    pa.array([sha(text[a:b]) for a, b in zip(at, at[1:], strict=False)]),
+                    pa.array([sha(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]),
                 ],
                 names=[*columns, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
@@ -240,22 +241,21 @@ def _digests(ranks, columns: list[str]):
     return digests
 
 
-def _applied(docs: DataFrame, task, columns: list[str], source: str, made: str, vocabulary: str) -> DataFrame:
-    spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    kept = [c for c in columns if c not in {x.split()[0] for x in made.split(", ")} | {source}]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), made])
-    return docs.select(*kept, source).mapInArrow(task(ranks, kept), schema)
+def _ranks(spark: SparkSession, vocabulary: str):
+    return spark.sparkContext.broadcast(read_ranks(vocabulary))
 
 
 def encode(docs: DataFrame, columns: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """``columns`` of ``docs`` and ``tokens``, the ids of ``text``: empty for empty and null texts."""
-    return _applied(docs, _encoded, columns, "text", "tokens array<int>", vocabulary)
+    df, text, kept, schema = with_text(docs, columns, T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(_encoded(_ranks(docs.sparkSession, vocabulary), text, kept), schema)
 
 
 def decode(encoded: DataFrame, columns: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """``columns`` of ``encoded`` and ``decoded``, the bytes that ``tokens`` stand for: empty where it is null."""
-    return _applied(encoded, _decoded, columns, "tokens", "decoded binary", vocabulary)
+    kept = [c for c in columns if c not in ("tokens", "decoded")]
+    schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())])
+    return encoded.select(*kept, "tokens").mapInArrow(_decoded(_ranks(encoded.sparkSession, vocabulary), kept), schema)
 
 
 def digests(docs: DataFrame, columns: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
@@ -264,4 +264,6 @@ def digests(docs: DataFrame, columns: list[str], vocabulary: str = VOCABULARY) -
     Null texts are empty: no tokens, both digests those of nothing. Repeated rows give repeated rows; columns named
     like the three results are replaced.
     """
-    return _applied(docs, _digests, columns, "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", vocabulary)
+    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    df, text, kept, schema = with_text(docs, columns, made)
+    return df.mapInArrow(_digests(_ranks(docs.sparkSession, vocabulary), text, kept), schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import mixing, rules, simhash, topk, urls, warc
+from barograph.llm import bpe, mixing, quality_crf, rules, simhash, suffix_tree, topk, toxicity, urls, warc
 from barograph.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -31,12 +31,27 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality by the chain over its lines."""
+    return quality_crf.quality(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded to token ids and decoded again."""
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each document's words, symbols and repeats, and whether it is kept."""
     judged = rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_chars", "base_failed", "kept")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log probability by unigrams and by the suffix tree."""
+    return suffix_tree.score(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest inner products of every fiftieth vector with the others."""
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -48,11 +63,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity by its character n-grams."""
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filters": op2_url_filters,
     "op3_simhash": op3_simhash,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }

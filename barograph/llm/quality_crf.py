@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barograph.llm import labelled
-from barograph.llm.textbatch import RangeHash, mixed, slices, word_spans
+from barograph.llm.textbatch import RangeHash, mixed, slices, with_text, word_spans
 
 #: Documents of either label that are learnt from.
 PER_CLASS = 3000
@@ -200,9 +201,9 @@ def learnt(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: i
     return fit(np.repeat(np.arange(len(count)), count), classes, np.repeat(rows["label"].to_numpy(), count))
 
 
-def _scored(model: Model, columns: list[str]):
+def _scored(model: Model, text: str, columns: list[str]):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in slices(batches, "__text"):
+        for batch, data, starts in slices(batches, text):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(model.scores(data, starts))], names=[*columns, "score"])
 
     return scored
@@ -213,10 +214,8 @@ def score(docs: DataFrame, model: Model, columns: list[str], threshold: float =
 
     An empty or null text is one empty line. Equal texts have equal scores. Columns named score or predicted are replaced.
     """
-    columns = [c for c in columns if c not in ("score", "predicted")]
-    df = docs.select(*columns, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "score double"])
-    return df.mapInArrow(_scored(model, columns), schema).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    df, text, kept, schema = with_text(docs, columns, T.StructType([T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(_scored(model, text, kept), schema).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

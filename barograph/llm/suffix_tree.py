@@ -23,11 +23,11 @@ from barograph.session import shared_dir
 #: The longest context, in symbols; a context and its next symbol fit 64 bits.
 DEPTH = 5
 #: Contexts make up at least this share of all places: of each length there are at most 1 / LEAST_SHARE.
-LEAST_SHARE = 1e-5
+LEAST_SHARE = 2e-6
 #: The log-likelihood (nats) that a context must gain over its parent, as a multiple of the log of all places.
-GAIN = 2.0
+GAIN = 1.0
 #: How many times a state counts its parent's distribution, and the root each byte.
-PARENT_WEIGHT, ROOT_WEIGHT = 20.0, 0.5
+PARENT_WEIGHT, ROOT_WEIGHT = 10.0, 0.5
 #: Words that make up at least this share of all tokens, at most 1 / COMMON, go to every task; the others are joined.
 COMMON = 2e-7
 BASE_SMOOTHING = 0.1

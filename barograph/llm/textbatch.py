@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: The white space that parts words, as a pattern for split() and its complement as a pattern for a word.
 GAP = r"[\x20\x09-\x0D]+"
@@ -39,6 +41,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             first = last
 
 
+def with_text(docs: DataFrame, columns: list[str], made: T.StructType) -> tuple[DataFrame, str, list[str], T.StructType]:
+    """What a task over texts gets and gives: ``columns`` of ``docs`` and the text; the name under which it finds the
+    text; the columns kept; and these with those that it makes, which replace any of the same names."""
+    kept = [c for c in columns if c not in made.fieldNames()]
+    name = "text" if "text" in kept else "__text"
+    df = docs.select(*kept, *([] if name == "text" else [docs["text"].alias(name)]))
+    return df, name, kept, T.StructType([*(df.schema[c] for c in kept), *made.fields])
+
+
 _BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
 #: Multiplier of range hashes: any odd number has an inverse modulo 2^64.
 _ODD = 0x9E3779B97F4A7C15
