@@ -23,7 +23,7 @@ from barograph.session import shared_dir
 #: The longest context, in symbols; a context and its next symbol fit 64 bits.
 DEPTH = 5
 #: Contexts make up at least this share of all places: of each length there are at most 1 / LEAST_SHARE.
-LEAST_SHARE = 2e-6
+LEAST_SHARE = 3e-6
 #: The log-likelihood (nats) that a context must gain over its parent, as a multiple of the log of all places.
 GAIN = 1.0
 #: How many times a state counts its parent's distribution, and the root each byte.
@@ -180,27 +180,36 @@ def tree(rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> Tree:
                 states.add((b - a, (c >> (8 * a)) & ((1 << (8 * (b - a))) - 1)))
     states = sorted(states)
     number = {s: i for i, s in enumerate(states)}
+    # rows of one state stand together; dense arrays are of single precision and filled piece by piece, for the driver's sake
     at = np.array([number[s] for s in zip(length.tolist(), context.tolist(), strict=True)], np.int64)
-    counts = np.zeros((len(states), columns))
-    np.add.at(counts, (at, column[symbol]), n)
+    order = np.argsort(at, kind="stable")
+    edge = np.searchsorted(at[order], np.arange(len(states) + 1)).tolist()
+    cols, counts = column[symbol][order], n[order].astype(float)
     others = max(0, 256 - len(seen))
-    rate = np.empty((len(states), columns))
-    root = np.append(counts[0, :-1] + ROOT_WEIGHT, ROOT_WEIGHT)
-    rate[0] = root / (root[:-1].sum() + ROOT_WEIGHT * others)
-    for i, (k, c) in enumerate(states[1:], 1):
-        above = rate[number[(k - 1, c & ((1 << (8 * (k - 1))) - 1))]]
-        rate[i] = (counts[i] + PARENT_WEIGHT * above) / (counts[i].sum() + PARENT_WEIGHT)
+    rate = np.empty((len(states), columns), np.float32)
+    for i, (k, c) in enumerate(states):
+        mine, own = counts[edge[i] : edge[i + 1]], cols[edge[i] : edge[i + 1]]
+        if k == 0:
+            row = np.full(columns, ROOT_WEIGHT)
+            row[own] += mine
+            rate[0] = row / (row[:-1].sum() + ROOT_WEIGHT * others)
+        else:
+            row = PARENT_WEIGHT * rate[number[(k - 1, c & ((1 << (8 * (k - 1))) - 1))]].astype(float)
+            row[own] += mine
+            rate[i] = row / (mine.sum() + PARENT_WEIGHT)
+    np.log10(rate, out=rate)
     lengths, codes = np.array([k for k, _ in states]), np.array([c for _, c in states], np.int64)
     follow = np.zeros((len(states), columns), np.int32)
-    longer = (codes[:, None] << 8) | seen[None, :].astype(np.int64)
-    for k in range(1, DEPTH + 1):
-        of = np.flatnonzero(lengths == k)
-        if len(of):
-            end = longer & ((1 << (8 * k)) - 1)
-            found = np.minimum(np.searchsorted(codes[of], end), len(of) - 1)
-            hit = (codes[of][found] == end) & (lengths[:, None] + 1 >= k)
-            follow[:, :-1][hit] = of[found[hit]]
-    return Tree(column, columns, np.log10(rate).astype(np.float32).ravel(), follow.ravel())
+    for i in range(0, len(states), 4096):
+        longer = (codes[i : i + 4096, None] << 8) | seen[None, :].astype(np.int64)
+        for k in range(1, DEPTH + 1):
+            of = np.flatnonzero(lengths == k)
+            if len(of):
+                end = longer & ((1 << (8 * k)) - 1)
+                found = np.minimum(np.searchsorted(codes[of], end), len(of) - 1)
+                hit = (codes[of][found] == end) & (lengths[i : i + 4096, None] + 1 >= k)
+                follow[i : i + 4096, :-1][hit] = of[found[hit]]
+    return Tree(column, columns, rate.ravel(), follow.ravel())
 
 
 def _scores(model, common, floor: float):
