@@ -21,7 +21,7 @@ from barograph.llm.textbatch import slices, with_text
 #: Characters in an n-gram; n-grams are hashed to 2^BITS features.
 SIZES, BITS = (3, 4, 5, 6), 20
 #: Documents of either label that are learnt from, and the features kept.
-PER_CLASS, FEATURES = 5000, 20_000
+PER_CLASS, FEATURES = 4000, 12_000
 #: A feature is in at least so many documents of the sample.
 LEAST_DOCUMENTS = 4
 SMOOTHING, PENALTY, ROUNDS = 1.0, 1e-4, 300
@@ -114,7 +114,7 @@ def _chosen(kept: np.ndarray):
 
 def regression(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, scale: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on features that are ``scale`` where a row has them; classes weigh alike."""
-    x = scale[columns]
+    x = scale.astype(np.float32)[columns]
     weigh = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     # columns are brought to a like step by their squares (a fixed diagonal), then accelerated gradient steps
     step = 1 / (0.25 * np.bincount(columns, x * x * weigh[rows] * np.sqrt(np.bincount(rows, minlength=len(labels)))[rows], len(scale)) + penalty + 1e-3)
@@ -146,7 +146,7 @@ def fit(sampled: DataFrame, features: int = FEATURES) -> Model:
         return Model(kept, ratio, -4.0)
     labels, lists = rows["label"].to_numpy().astype(float), rows["features"].combine_chunks()
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    w, bias = regression(np.repeat(np.arange(len(labels)), lengths), lists.flatten().to_numpy(), labels, ratio)
+    w, bias = regression(np.repeat(np.arange(len(labels), dtype=np.int32), lengths), lists.flatten().to_numpy(), labels, ratio)
     return Model(kept, w * ratio, bias)
 
 

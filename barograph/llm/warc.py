@@ -188,9 +188,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     payload is null in revisits; their payload_bytes and digest are those of the original. Each archive is read by one
-    task, from front to back.
+    task, from front to back, and has a task of its own.
     """
-    dealt = archives.select("archive").repartition(F.xxhash64("archive"))
+    dealt = archives.select("archive").repartitionByRange(max(1, archives.count()), "archive")
     return dealt.mapInArrow(_read(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
