@@ -24,7 +24,7 @@ from barograph.llm.textbatch import slices, with_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Words whose ids a task keeps before it starts anew, and the bytes of text it takes at a time.
-KEPT_WORDS, SLICE = 400_000, 4 << 20
+KEPT_WORDS, SLICE = 250_000, 2 << 20
 #: Longer words are merged one by one with a heap of pairs; the joint rounds would go on for the longest word.
 JOINT_BYTES = 48
 #: No rank: larger than any.

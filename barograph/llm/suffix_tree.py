@@ -35,7 +35,7 @@ BASE_SMOOTHING = 0.1
 END = 10
 WORD_KIND, PLACE_KIND = 0, 1
 #: Counts that a task holds before it hands them on.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Symbols that are walked in one go; more of a text are walked beside them.
 STRETCH = 2048
 

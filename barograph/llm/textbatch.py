@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same six characters, for trimming.
 BLANKS = " \t\n\x0b\f\r"
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -90,7 +90,8 @@ class Model:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int64)
-    for batch, data, starts in slices(batches):
+    # all n-grams of a slice are held here, so it is a small one
+    for batch, data, starts in slices(batches, limit=1 << 19):
         doc, feature = present(data, starts)
         label = batch.column("label").to_numpy(zero_copy_only=False)[doc]
         for c in (0, 1):
