@@ -215,17 +215,20 @@ def tree(rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> Tree:
 def _scores(model, common, floor: float):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker, (codes, logs) = model.value, common.value
+        if not len(codes):
+            codes, logs = np.array([np.iinfo(np.int64).min]), np.full(1, floor)
         names = ["tag", "doc_id", "code", "uses", "n_tokens", "n_known", "base", "score"]
         for batch, data, starts in slices(batches):
             t, docs = tokens(data, starts), batch.num_rows
             words, which = np.unique(t.word, return_inverse=True)
-            at = np.minimum(np.searchsorted(codes, words), max(0, len(codes) - 1))
-            known = codes[at] == words if len(codes) else np.zeros(len(words), bool)
+            at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
+            known = codes[at] == words
             hit = known[which]
             base = np.bincount(t.doc[hit], logs[at][which[hit]], docs)
             n_known, n_words = np.bincount(t.doc[hit], minlength=docs), np.bincount(t.doc, minlength=docs)
-            has_end = len(codes) and codes[i := min(np.searchsorted(codes, 0), len(codes) - 1)] == 0
-            base, n_known = base + (logs[i] if has_end else floor), n_known + bool(has_end)
+            end = min(np.searchsorted(codes, 0), len(codes) - 1)
+            has_end = codes[end] == 0
+            base, n_known = base + (logs[end] if has_end else floor), n_known + int(has_end)
             tag = batch.column("tag").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("tag"), batch.column("doc_id"), pa.nulls(docs, pa.int64()), pa.array(np.zeros(docs, np.int32)), pa.array(n_words + 1), pa.array(n_known), pa.array(base), pa.array(walker.walk(t))], names=names
