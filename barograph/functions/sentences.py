@@ -178,7 +178,9 @@ def read_values(kind: Column, fields: Column, hour_offset: int = 0) -> dict[str,
 
     def number(name: str, blank: float | None = None) -> Column:
         t = text(name)
-        return t.try_cast("double") if blank is None else F.when(t == "", F.lit(blank)).otherwise(t.try_cast("double"))
+        # Java's suffixes of a number (12.5f, 12.5d) are no part of one in a sentence
+        read = F.when(~t.rlike(r"[0-9.][fFdD]\s*$"), t.try_cast("double"))
+        return read if blank is None else F.when(t == "", F.lit(blank)).otherwise(read)
 
     whole = {n: text(n).try_cast("int") for n in ("fix_stat", "used", "fix_type", "sv_total", "sv_index", "sv_view")}
     return whole | {

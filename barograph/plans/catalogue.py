@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,18 +207,19 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.top_sources(_by_source(spark, sf_dir))
 
 
-def _stored_and_fresh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The table as a run 90 minutes ago left it, and a run over what a week's retention still holds."""
+def _stored_and_fresh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
+    """The table as a run 90 minutes ago left it, a run over what a week's retention still holds, and where that begins."""
     rows = _readings(spark, sf_dir, rollup.HOURLY_INPUT)
     newest = rows.agg(F.max("read_datetime")).scalar()
     at = F.col("read_datetime")
     stored = rollup.hourly_rollup(rows.where(at <= newest - F.expr("INTERVAL 90 MINUTES")))
-    fresh = rollup.hourly_rollup(rows.where(at > F.date_trunc("hour", newest - F.expr("INTERVAL 7 DAYS"))))
-    return stored, fresh
+    begin = F.date_trunc("hour", newest - F.expr("INTERVAL 7 DAYS"))
+    return stored, rollup.hourly_rollup(rows.where(at >= begin)), begin
 
 
 def mart_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(upkeep.mart_match(*_stored_and_fresh(spark, sf_dir)))
+    stored, fresh, _ = _stored_and_fresh(spark, sf_dir)
+    return plain(upkeep.mart_match(stored, fresh))
 
 
 def mart_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +238,14 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(changes.current_rows(spark, f"{out}/changes", rows.schema, keys).select(*HOURLY_COLUMNS))
 
 
+def late_hours_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's hourly table, which late messages may be missing from, put right from the whole log."""
+    streamed = stream_hourly(spark, sf_dir)
+    zoned = {f.name: f.dataType for f in _hourly(spark, sf_dir).schema}
+    streamed = streamed.select(*(F.col(c).cast(zoned[c]) for c in streamed.columns))
+    return plain(hourly.repaired(streamed, _hourly(spark, sf_dir)).select(*HOURLY_COLUMNS))
+
+
 def stream_last_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "stream_last_30")
     rows = last_points.last_points_stream(events.message_stream(spark, sf_dir))
@@ -256,9 +265,9 @@ def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed twice from the same log; the second run must add nothing."""
     out = shared_dir(spark, "stream_landing")
     for _ in range(2):
-        stream = landing.without_repeats(events.message_stream(spark, sf_dir))
+        stream = events.message_stream(spark, sf_dir)
         changes.run_available(landing.landing_writer(stream, f"{out}/log", f"{out}/checkpoint"))
-    return plain(monitor.topic_profile(read_log(spark, f"{out}/log")))
+    return plain(monitor.topic_profile(landing.without_repeats(read_log(spark, f"{out}/log"))))
 
 
 def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +329,7 @@ QUERIES: dict[str, Query] = {
         heatmap_weekday_hour, metric_long, column_profile, filter_isin, filter_range, filter_dates, filter_regex,
         filter_composed, date_cutoff, live_projection, last_30_points, last_30_per_source, latest_reading, latest_source,
         humidity_band, memory_split, size_texts, source_freshness, topic_profile, cadence_gaps, top_sources, mart_match,
-        mart_diff, mart_upsert, stream_hourly, stream_last_30, stream_last_30_per_source, stream_landing, stream_live,
+        mart_diff, mart_upsert, stream_hourly, late_hours_repaired, stream_last_30, stream_last_30_per_source, stream_landing, stream_live,
         nmea_quality, nmea_fixes, nmea_track, nmea_receiver, nmea_satellites, calibrated_readings, calibrated_datasheet,
         calibrate_roundtrip,
     )

@@ -6,17 +6,22 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.operators.readings import READING_COLUMNS, parse_readings, rejects
-from barograph.operators.rollup import hourly_rollup, messages_by_source
-from barograph.schema import HOURLY_TABLE, SOURCE_TABLE
-from barograph.session import pin_utc
-from barograph.sinks.messages import counted
-from barograph.sinks.tables import jdbc_writer, overwrite_parquet
-from barograph.sources.messages import read_log, read_topic
+# started by its file name, a script has only its own folder to import from
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from barograph.operators.readings import READING_COLUMNS, parse_readings, rejects  # noqa: E402
+from barograph.operators.rollup import hourly_rollup, messages_by_source  # noqa: E402
+from barograph.schema import HOURLY_TABLE, SOURCE_TABLE  # noqa: E402
+from barograph.session import pin_utc  # noqa: E402
+from barograph.sinks.messages import counted  # noqa: E402
+from barograph.sinks.tables import jdbc_writer, overwrite_parquet  # noqa: E402
+from barograph.sources.messages import read_log, read_topic  # noqa: E402
 
 
 @dataclass(frozen=True)
@@ -59,6 +64,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--log", help="folder of a landed log")
     p.add_argument("--servers")
     p.add_argument("--topic")
+    p.add_argument("--starting", help="offsets to start from; pins the run to a part of the topic")
+    p.add_argument("--ending", help="offsets to stop at; with it, readings and rejects are of one snapshot")
+    p.add_argument("--min-partitions", type=int)
     p.add_argument("--out", required=True)
     p.add_argument("--jdbc-url")
     p.add_argument("--jdbc-driver")
@@ -67,7 +75,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--keep-rejects", action="store_true")
     a = p.parse_args(argv)
     spark = pin_utc(SparkSession.builder.appName("hourly").getOrCreate())
-    messages = read_log(spark, a.log) if a.log else read_topic(spark, a.servers, a.topic)
+    messages = read_log(spark, a.log) if a.log else read_topic(spark, a.servers, a.topic, a.starting, a.ending, a.min_partitions)
     jdbc = None
     if a.jdbc_url:
         jdbc = {"url": a.jdbc_url, "driver": a.jdbc_driver, "user": a.jdbc_user, "password": a.jdbc_password}

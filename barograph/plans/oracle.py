@@ -71,7 +71,7 @@ _STORED_FRESH = (
     "WITH "
     + _READ
     + "s AS (SELECT * FROM r WHERE ts <= (SELECT max(ts) FROM r) - INTERVAL 90 MINUTE),"
-    + "w AS (SELECT * FROM r WHERE ts > date_trunc('hour', (SELECT max(ts) FROM r) - INTERVAL 7 DAY)),"
+    + "w AS (SELECT * FROM r WHERE ts >= date_trunc('hour', (SELECT max(ts) FROM r) - INTERVAL 7 DAY)),"
     + _hours("stored", "s")
     + ","
     + _hours("fresh", "w")
@@ -462,3 +462,4 @@ FROM z WHERE epoch_us(ts) - epoch_us(prev) > 3600000000""",
     ),
 }
 ORACLE["stream_landing"] = ORACLE["topic_profile"]
+ORACLE["late_hours_repaired"] = ORACLE["hourly_rollup"]

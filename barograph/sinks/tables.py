@@ -37,4 +37,4 @@ def overwrite_days(df: DataFrame, path: str, day: str = "date") -> None:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header. Meant for the small result tables: a single task writes it."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)

@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from barograph.functions.sentences import checksum
 from barograph.schema import MESSAGES
 from barograph.session import pin_utc
-from barograph.sources.messages import spread_single_task
 
 TOPIC = "telemetry"
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_single_task(pin_utc(spark).read.parquet(f"{sf_dir}/events.parquet").drop("event_type"))
+    return pin_utc(spark).read.parquet(f"{sf_dir}/events.parquet").drop("event_type")
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:

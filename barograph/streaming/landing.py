@@ -1,4 +1,4 @@
-"""Keeping the log: arriving messages are appended to a table by day, once each."""
+"""Keeping the log: every arriving message is appended to a table by day, however late it is."""
 
 from __future__ import annotations
 
@@ -8,7 +8,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 
 def landing_writer(messages: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """The checkpoint remembers what has been taken in: a second run adds nothing."""
+    """The checkpoint remembers what has been taken in: a second run adds nothing.
+
+    Nothing is taken out on the way. A message that the source itself delivers twice lands twice;
+    ``without_repeats`` takes such repeats out of the landed log.
+    """
     return (
         messages.withColumn("day", F.to_date("timestamp"))
         .writeStream.format("parquet")
@@ -19,6 +23,6 @@ def landing_writer(messages: DataFrame, path: str, checkpoint: str) -> DataStrea
     )
 
 
-def without_repeats(messages: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Messages delivered twice within the lateness are taken once, by their place in the log."""
-    return messages.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["topic", "partition", "offset"])
+def without_repeats(log: DataFrame) -> DataFrame:
+    """A landed log with each message once, by its place in the topic; for batch reading, without any limit of time."""
+    return log.dropDuplicates(["topic", "partition", "offset"])

@@ -44,11 +44,11 @@ def log(spark):
     return make
 
 
-def document(i=1, temperature='"21.92C"', humidity='"44.83%"', pressure='"890.07hPa"', ip='"10.0.0.1"', board="24.5") -> str:
+def document(i=1, temperature='"19.25C"', humidity='"47.5%"', pressure='"1011.5hPa"', ip='"10.0.0.1"', board="24.5") -> str:
     return (
         f'{{"id": {i}, "bme280": {{"pressure": {pressure}, "temperature": {temperature}, "humidity": {humidity}, '
         f'"read_datetime": "2024-3-1 9:5:7"}}, "picow": {{"local_ip": {ip}, "temperature": {board}, "free_storage_kb": 409.5, '
-        f'"mem_alloc_bytes": 53520, "mem_free_bytes": 89328, "cpu_freq_mhz": 125}}}}'
+        f'"mem_alloc_bytes": 60000, "mem_free_bytes": 90000, "cpu_freq_mhz": 125}}}}'
     )
 
 

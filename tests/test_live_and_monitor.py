@@ -14,9 +14,9 @@ def test_projection(log):
     rows = live.live_projection(log(document(1), V1, V3, BAD, '{"id": 1}', None)).orderBy("offset").collect()
     assert [r.offset for r in rows] == [3, 4, 5]
     a, b, c = rows
-    assert (a.time, a.bme_280_temperature, a.picow_mem_alloc_bytes) == ("2024-3-1 9:5:7", 21.92, 53520 / 1024)
-    assert b.picow_mem_free_bytes is None and b.picow_temperature == 24.24184
-    assert c.bme_280_pressure == 886.759 and c.picow_free_cpu_freq_mhz == 0.0
+    assert (a.time, a.bme_280_temperature, a.picow_mem_alloc_bytes) == ("2024-3-1 9:5:7", 19.25, 60000 / 1024)
+    assert b.picow_mem_free_bytes is None and b.picow_temperature == 26.5
+    assert c.bme_280_pressure == 1003.125 and c.picow_free_cpu_freq_mhz == 0.0
 
 
 def test_lines(log):
@@ -47,7 +47,7 @@ def test_latest(log):
     assert live.latest_source(points).first().source_ip == "10.0.0.1"
     assert live.latest_source(points.where("false")).first().source_ip == "Unknown"
     split = {r.picow_local_ip: r for r in live.memory_split(points).collect()}["b"]
-    assert split.allocated_share == 53520 / (53520 + 89328)
+    assert split.allocated_share == 60000 / (60000 + 90000)
 
 
 def test_gauge(log):

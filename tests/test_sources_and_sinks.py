@@ -3,6 +3,10 @@ options are checked, and that a batch frame is turned into the records that the
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import csv
 import glob
 
@@ -51,12 +55,6 @@ def test_kafka_options():
     assert (pinned["startingOffsets"], pinned["endingOffsets"]) == ("earliest", '{"t": {"0": 9}}')
 
 
-def test_only_an_input_of_one_task_is_dealt_out(spark):
-    one, many = spark.range(9).coalesce(1), spark.range(0, 9, 1, 3)
-    assert messages.spread_single_task(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert messages.spread_single_task(many) is many
-
-
 def test_records_to_publish(log):
     df = message_sinks.payload_rows(log(document(1)))
     assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("key", "binary"), ("value", "binary")]
@@ -174,3 +172,9 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Cluster(), "x")
+
+
+def test_the_job_starts_from_any_folder(tmp_path):
+    script = Path(__file__).resolve().parents[1] / "barograph/plans/hourly_job.py"
+    done = subprocess.run([sys.executable, str(script), "--help"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and "--min-partitions" in done.stdout

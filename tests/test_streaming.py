@@ -65,9 +65,18 @@ def test_landing_keeps_all_messages_once(spark, folder, log):
 
 def test_repeated_messages_are_taken_once(spark, folder, log):
     arrive(folder, log(document(1), document(2)), log(document(1), document(2), document(3)))
-    stream = landing.without_repeats(stream_log(spark, f"{folder}/in"))
+    stream = stream_log(spark, f"{folder}/in")
     changes.run_available(landing.landing_writer(stream, f"{folder}/log", f"{folder}/cp"))
-    assert sorted(r.offset for r in read_log(spark, f"{folder}/log").collect()) == [3, 4, 5]
+    assert sorted(r.offset for r in landing.without_repeats(read_log(spark, f"{folder}/log")).collect()) == [3, 4, 5]
+
+
+def test_late_messages_land(spark, folder, log):
+    """Three batches, the last a day behind the one before it, from another partition."""
+    parts = [log(document(1), start="2024-03-01 01:00:00"), log(document(2), first=9, start="2024-03-02 10:00:00"), log(document(3), start="2024-03-01 01:30:00").withColumn("partition", F.lit(1))]
+    for part in parts:
+        arrive(folder, part)
+        changes.run_available(landing.landing_writer(stream_log(spark, f"{folder}/in"), f"{folder}/log", f"{folder}/cp"))
+    assert landing.without_repeats(read_log(spark, f"{folder}/log")).count() == 3
 
 
 def test_live_rows_and_lines(spark, folder, log):

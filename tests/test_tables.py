@@ -160,6 +160,15 @@ def test_upkeep(table):
     assert sorted(upkeep.mart_upsert(after, fresh).collect()) == sorted(after.collect())
 
 
+def test_a_cut_off_hour_never_replaces_a_whole_one(table):
+    h = [datetime(2024, 1, 1, i) for i in range(3)]
+    stored, fresh = table(hour(h[1])), table(hour(h[0], count=2), hour(h[1], count=3), hour(h[2], count=4))
+    begin = F.lit("2024-01-01 01:20:00").cast("timestamp")
+    assert {r.hour: r["count"] for r in upkeep.mart_upsert(stored, fresh, begin).collect()} == {0: 2, 1: 10, 2: 4}
+    assert {r.hour: r.status for r in upkeep.mart_diff(stored, fresh, begin).collect()} == {0: "inserted", 1: "stale", 2: "inserted"}
+    assert {r.hour: r["count"] for r in upkeep.mart_upsert(stored, fresh, F.lit("2024-01-01 01:00:00").cast("timestamp")).collect()}[1] == 3
+
+
 def test_a_null_measure_is_the_same_as_a_null_measure(table):
     empty = hour(datetime(2024, 1, 1), temp=None)
     assert upkeep.mart_diff(table(empty), table(empty)).first().status == "same"
