@@ -172,8 +172,11 @@ def tree(rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> Tree:
     column = np.full(256, len(seen), np.int64)
     column[seen] = np.arange(len(seen))
     columns = len(seen) + 1
+    # contexts once each, by a number of length and context; only these become Python objects
+    own, row_of = np.unique((length << (8 * DEPTH)) | context, return_inverse=True)
+    own = [(k >> (8 * DEPTH), k & ((1 << (8 * DEPTH)) - 1)) for k in own.tolist()]
     states = {(0, 0)}
-    for k, c in set(zip(length.tolist(), context.tolist(), strict=True)):
+    for k, c in own:
         # all suffixes, and all beginnings of these; the latest symbol is the lowest byte
         for a in range(k + 1):
             for b in range(a, k + 1):
@@ -181,7 +184,7 @@ def tree(rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> Tree:
     states = sorted(states)
     number = {s: i for i, s in enumerate(states)}
     # rows of one state stand together; dense arrays are of single precision and filled piece by piece, for the driver's sake
-    at = np.array([number[s] for s in zip(length.tolist(), context.tolist(), strict=True)], np.int64)
+    at = np.array([number[s] for s in own], np.int64)[row_of]
     order = np.argsort(at, kind="stable")
     edge = np.searchsorted(at[order], np.arange(len(states) + 1)).tolist()
     cols, counts = column[symbol][order], n[order].astype(float)
@@ -263,10 +266,12 @@ def score(spark: SparkSession, docs: DataFrame, learn=None) -> DataFrame:
     size = {r["kind"]: (r["all"] or 0, r["different"]) for r in counted.groupBy("kind").agg(F.sum("n").alias("all"), F.count("*").alias("different")).collect()}
     (n_all, n_different), (n_places, _) = size.get(WORD_KIND, (0, 0)), size.get(PLACE_KIND, (0, 0))
     below = n_all + BASE_SMOOTHING * (n_different + 1)
-    kept = contexts(counted.where(F.col("kind") == PLACE_KIND).select("code", "n"), n_places).toPandas()
-    model = tree(tuple(kept[c].to_numpy(np.int64) for c in ("length", "context", "symbol", "n")))
-    common = words.where(F.col("n") >= COMMON * n_all).toPandas().sort_values("code")
-    table = (common["code"].to_numpy(np.int64), np.log10((common["n"].to_numpy(float) + BASE_SMOOTHING) / below))
+    kept = contexts(counted.where(F.col("kind") == PLACE_KIND).select("code", "n"), n_places).toArrow()
+    model = tree(tuple(kept[c].to_numpy().astype(np.int64) for c in ("length", "context", "symbol", "n")))
+    common = words.where(F.col("n") >= COMMON * n_all).toArrow()
+    order = np.argsort(common["code"].to_numpy())
+    table = (common["code"].to_numpy().astype(np.int64)[order], np.log10((common["n"].to_numpy().astype(float)[order] + BASE_SMOOTHING) / below))
+    del kept, common, order
     floor = float(np.log10(BASE_SMOOTHING / below))
     send = spark.sparkContext.broadcast
     tagged = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("tag"))
