@@ -38,6 +38,34 @@ def unpack_burst(burst: Column) -> dict[str, Column]:
     return {"raw_press": _right(bits(1, 3), 4), "raw_temp": _right(bits(4, 3), 4), "raw_hum": bits(7, 2)}
 
 
+def unpack_constants(first: Column, second: Column) -> dict[str, Column]:
+    """The constants from the sensor's two register blocks of 26 and 7 bytes.
+
+    Words are little-endian. Only T1, P1, H1 and H3 are without a sign; H4 and H5 share a byte for their lowest four bits.
+    """
+
+    def byte(block: Column, i: int) -> Column:
+        return F.conv(F.hex(F.substring(block, i + 1, 1)), 16, 10).cast("int")
+
+    def signed(c: Column, bits: int) -> Column:
+        return F.when(c >= 1 << (bits - 1), c - (1 << bits)).otherwise(c)
+
+    def word(block: Column, i: int) -> Column:
+        return byte(block, i) + byte(block, i + 1) * 256
+
+    out = {n: word(first, 2 * i) for i, n in enumerate(CALIBRATION[:12])}
+    out = {n: c if n in ("dig_T1", "dig_P1") else signed(c, 16) for n, c in out.items()}
+    shared = byte(second, 4)
+    return out | {
+        "dig_H1": byte(first, 25),
+        "dig_H2": signed(word(second, 0), 16),
+        "dig_H3": byte(second, 2),
+        "dig_H4": signed(byte(second, 3), 8) * 16 + shared % 16,
+        "dig_H5": signed(byte(second, 5), 8) * 16 + _right(shared, 4),
+        "dig_H6": signed(byte(second, 6), 8),
+    }
+
+
 def fine_temperature(raw: Column, t: list[Column], preshift: bool = True) -> Column:
     """``preshift`` shifts the second constant before multiplying; without it this is the data sheet's form."""
     t1, t2, t3 = t

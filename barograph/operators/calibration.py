@@ -14,6 +14,12 @@ def unpack_readings(bursts: DataFrame) -> DataFrame:
     return bursts.select("device_id", "reading_id", *[c.alias(n) for n, c in C.unpack_burst(F.col("burst")).items()])
 
 
+def unpack_constants(blocks: DataFrame) -> DataFrame:
+    """``(device_id, first BINARY, second BINARY)``, a device's two register blocks, to its constants."""
+    constants = C.unpack_constants(F.col("first"), F.col("second"))
+    return blocks.select("device_id", *[constants[n].alias(n) for n in C.CALIBRATION])
+
+
 def with_constants(raw: DataFrame, calibration: DataFrame, spread: int = 16) -> DataFrame:
     """Each reading beside its device's constants.
 

@@ -93,18 +93,20 @@ def parse_readings(
 
 
 def rejects(messages: DataFrame, last_skipped_offset: int | None = 2) -> DataFrame:
-    """The other messages, with the reason: ``readings`` and ``rejects`` together are all messages past the warm-up."""
+    """The other messages, with the reason: ``readings`` and ``rejects`` together are all messages."""
     text = F.col("value").cast("string")
+    warm_up = F.lit(False) if last_skipped_offset is None else F.col("offset") <= last_skipped_offset
     return (
-        parse_documents(skip_warm_up(messages, last_skipped_offset), document_schema([]))
-        .where(F.col("id").isNull())
+        parse_documents(messages, document_schema([]))
+        .where(F.col("id").isNull() | warm_up)
         .select(
             "topic",
             "partition",
             "offset",
             "timestamp",
             "value",
-            F.when(F.get_json_object(text, "$").isNull(), "malformed_json")
+            F.when(warm_up, "warm_up")
+            .when(F.get_json_object(text, "$").isNull(), "malformed_json")
             .when(F.get_json_object(text, "$.id").isNotNull(), "bad_number")
             .otherwise("missing_id")
             .alias("reason"),

@@ -10,10 +10,13 @@ from pyspark.sql import types as T
 
 from barograph.functions.values import naive, size_text, strip_unit
 from barograph.operators import calibration, dashboard, filters, gps, live, monitor, profile, readings, rollup, upkeep
-from barograph.schema import HOURLY_COLUMNS
+from barograph.plans.hourly_job import build_marts
+from barograph.schema import HOURLY_COLUMNS, HOURLY_TABLE
 from barograph.session import shared_dir
+from barograph.sinks.tables import export_csv, overwrite_parquet
 from barograph.sources import events
 from barograph.sources.messages import read_log
+from barograph.sources.tables import load_hourly
 from barograph.streaming import changes, hourly, landing, last_points
 from barograph.streaming import live as live_streams
 
@@ -67,6 +70,33 @@ def hourly_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(rollup.finish_hours(rollup.merge_parts(parts)))
 
 
+def hourly_job_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's hourly table from the readings that it landed, and how many these are."""
+    marts = build_marts(spark, events.messages(spark, sf_dir), f"{shared_dir(spark, 'hourly_job_marts')}/readings")
+    return plain(marts.hourly).withColumn("landed", F.lit(marts.readings).cast("bigint"))
+
+
+def hourly_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly table written and read back."""
+    out = shared_dir(spark, "hourly_stored")
+    overwrite_parquet(_hourly(spark, sf_dir), f"{out}/{HOURLY_TABLE}")
+    return plain(load_hourly(spark, out))
+
+
+def sources_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table per source as the CSV file that a viewer downloads."""
+    rows, out = _by_source(spark, sf_dir), shared_dir(spark, "sources_exported")
+    export_csv(rows, out)
+    return spark.read.schema(rows.schema).option("header", True).csv(out)
+
+
+def datetimes_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text column of times becomes one of times, another text stays, and a time loses its zone."""
+    rows = _hourly(spark, sf_dir)
+    label = F.concat(F.lit("h"), "hour").alias("label")
+    return filters.coerce_datetimes(rows.select("datetime", F.col("datetime").cast("string").alias("seen"), label))
+
+
 def messages_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_source(spark, sf_dir)
 
@@ -306,6 +336,10 @@ def _calibrated(spark: SparkSession, sf_dir: str, t2_preshift: bool = True) -> D
     return calibration.calibrate(raw, events.calibration(rows), t2_preshift)
 
 
+def calibration_unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.unpack_constants(events.calibration_blocks(events.read_events(spark, sf_dir)))
+
+
 def calibrated_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calibrated(spark, sf_dir)
 
@@ -331,7 +365,7 @@ QUERIES: dict[str, Query] = {
         humidity_band, memory_split, size_texts, source_freshness, topic_profile, cadence_gaps, top_sources, mart_match,
         mart_diff, mart_upsert, stream_hourly, late_hours_repaired, stream_last_30, stream_last_30_per_source, stream_landing, stream_live,
         nmea_quality, nmea_fixes, nmea_track, nmea_receiver, nmea_satellites, calibrated_readings, calibrated_datasheet,
-        calibrate_roundtrip,
+        calibrate_roundtrip, calibration_unpacked, hourly_job_marts, hourly_stored, sources_exported, datetimes_coerced,
     )
 }
 

@@ -6,7 +6,7 @@ hundredths, and means are rounded half up by whole-number division, so nothing d
 
 from __future__ import annotations
 
-from barograph.sources.events import TYPICAL
+from barograph.sources.events import TURNED, TYPICAL
 
 _EVENTS = r"""
 e AS (
@@ -358,9 +358,9 @@ SELECT n AS kafka_offset, 0 AS kafka_partition, ts AS kafka_datetime, 'telemetry
   CAST(150000 - n % 1000 * 16 AS DOUBLE) AS picow_mem_free_bytes, CAST(125.0 AS DOUBLE) AS picow_cpu_freq_mhz,
   CAST(409.5 AS DOUBLE) AS picow_free_storage_kb FROM r""",
     "reject_report": """
-SELECT CASE WHEN event_id % 97 = 13 THEN 'malformed_json' ELSE 'missing_id' END AS reason, count(*) AS messages,
-  min(event_id) AS first_offset, max(event_id) AS last_offset
-FROM events WHERE event_id > 2 AND (event_id % 97 = 13 OR event_id % 89 = 7) GROUP BY 1""",
+SELECT CASE WHEN event_id <= 2 THEN 'warm_up' WHEN event_id % 97 = 13 THEN 'malformed_json' ELSE 'missing_id' END AS reason,
+  count(*) AS messages, min(event_id) AS first_offset, max(event_id) AS last_offset
+FROM events WHERE event_id <= 2 OR event_id % 97 = 13 OR event_id % 89 = 7 GROUP BY 1""",
     "payload_version_counts": """
 SELECT CASE WHEN event_id % 97 = 13 THEN 'bad' WHEN event_id % 89 = 7 THEN 'v1' WHEN event_id % 83 = 5 THEN 'v3' ELSE 'v2' END AS version,
   count(*) AS messages FROM events WHERE event_id > 2 GROUP BY 1""",
@@ -461,5 +461,16 @@ FROM z WHERE epoch_us(ts) - epoch_us(prev) > 3600000000""",
         " (humidity * 100 // 1024) / 100.0 AS humidity FROM o",
     ),
 }
+_VARIED = {"dig_T1": " + user_id % 100", "dig_P1": " + user_id % 50"}
+_TURN = " * CASE WHEN user_id % 2 = 1 THEN -1 ELSE 1 END"
+ORACLE["calibration_unpacked"] = (
+    "SELECT DISTINCT user_id AS device_id, "
+    + ", ".join(f"CAST({v}{_VARIED.get(c, '')}{_TURN if c in TURNED else ''} AS INTEGER) AS {c}" for c, v in TYPICAL.items())
+    + " FROM events"
+)
+ORACLE["hourly_job_marts"] = _HOURLY + " SELECT *, (SELECT count(*) FROM r) AS landed FROM hourly"
+ORACLE["hourly_stored"] = ORACLE["hourly_rollup"]
+ORACLE["sources_exported"] = ORACLE["messages_by_source"]
+ORACLE["datetimes_coerced"] = _HOURLY + " SELECT datetime, datetime AS seen, 'h' || hour AS label FROM hourly"
 ORACLE["stream_landing"] = ORACLE["topic_profile"]
 ORACLE["late_hours_repaired"] = ORACLE["hourly_rollup"]

@@ -168,3 +168,24 @@ def calibration(events: DataFrame) -> DataFrame:
     )
 
 
+#: Constants that have the other sign in devices with an odd number.
+TURNED = ["dig_H2", "dig_H4", "dig_H5", "dig_H6"]
+
+
+def calibration_blocks(events: DataFrame) -> DataFrame:
+    """The constants as a sensor holds them: a block of 26 bytes and one of 7."""
+    turned = F.when(F.col("device_id") % 2 == 1, -1).otherwise(1)
+    rows = calibration(events).withColumns({c: F.col(c) * turned for c in TURNED})
+
+    def byte(c: Column) -> Column:
+        return F.lpad(F.hex(F.pmod(c, F.lit(256))), 2, "0")
+
+    def word(name: str) -> list[Column]:
+        return [byte(F.col(name)), byte(F.shiftright(name, 8))]
+
+    words = [n for n in TYPICAL if n[4] in "TP"]
+    low = F.col("dig_H4").bitwiseAND(F.lit(15)) + F.col("dig_H5").bitwiseAND(F.lit(15)) * 16
+    first = [*(b for n in words for b in word(n)), F.lit("00"), byte(F.col("dig_H1"))]
+    second = [*word("dig_H2"), byte(F.col("dig_H3")), byte(F.shiftright("dig_H4", 4)), byte(low)]
+    second += [byte(F.shiftright("dig_H5", 4)), byte(F.col("dig_H6"))]
+    return rows.select("device_id", *[F.unhex(F.concat(*b)).alias(n) for n, b in (("first", first), ("second", second))])

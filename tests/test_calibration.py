@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,20 @@ def test_texts_read_back(spark):
     assert all(r.back * 100 == r.t for r in rows)
     p = spark.sql("SELECT 89007L * 256 + 3 AS p, 45910L AS h").select(C.pressure_text(F.col("p")), C.humidity_text(F.col("h"))).first()
     assert tuple(p) == ("890.07hPa", "44.83%")
+
+
+def test_register_blocks(spark):
+    """Both signs of every value that has one, and the ends of each range."""
+    rng, rows, want = random.Random(3), [], {}
+    ends = {16: (-32768, 32767), 12: (-2048, 2047), 8: (-128, 127)}
+    for device in range(40):
+        pick = lambda bits: rng.choice([*ends[bits], -1, 0, rng.randint(*ends[bits])])  # noqa: B023, E731
+        words = [pick(16) for _ in range(12)]
+        words[0], words[3] = words[0] & 0xFFFF, words[3] & 0xFFFF
+        h1, h2, h3, h4, h5, h6 = rng.choice([0, 128, 255]), pick(16), rng.choice([0, 128, 255]), pick(12), pick(12), pick(8)
+        first = struct.pack("<HhhHhhhhhhhhBB", *words, 0, h1)
+        second = struct.pack("<hBbBbb", h2, h3, h4 >> 4, (h4 & 15) | (h5 & 15) << 4, h5 >> 4, h6)
+        rows.append((device, first, second))
+        want[device] = (*words, h1, h2, h3, h4, h5, h6)
+    got = calibration.unpack_constants(spark.createDataFrame(rows, "device_id long, first binary, second binary"))
+    assert {r.device_id: tuple(r)[1:] for r in got.collect()} == want

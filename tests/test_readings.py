@@ -86,10 +86,13 @@ def test_more_corner_cases(log):
     assert c.id == 4 and c.picow_local_ip is None and c.bme280_pressure is None
 
 
-def test_readings_and_rejects_are_all_messages_past_the_warm_up(log):
+def test_readings_and_rejects_are_all_messages(log):
     messages = log(document(0), document(1), document(2), document(3), V1, BAD, V3, None, first=0)
-    assert readings.parse_readings(messages).count() + readings.rejects(messages).count() == 5
+    reasons = [r.reason for r in readings.rejects(messages).orderBy("offset").collect()]
+    assert reasons == ["warm_up"] * 3 + ["missing_id", "malformed_json", "malformed_json"]
+    assert readings.parse_readings(messages).count() == 2
     assert readings.parse_readings(messages, last_skipped_offset=None).count() == 5
+    assert readings.rejects(messages, last_skipped_offset=None).count() == 3
 
 
 def test_versions(log):
