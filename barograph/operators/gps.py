@@ -124,17 +124,18 @@ def receiver_state(lines: DataFrame, hour_offset: int = 0, columns: list[str] |
     With a ``ts`` column there is also ``ms_since_fix``: event time since the last sentence with a fix, -1 before it.
     """
     columns = columns or list(INITIAL_STATE)
-    return state_of(decode(lines, hour_offset, columns), columns)
+    timed = ["ts"] if "ts" in lines.columns else []
+    return state_of(decode(lines, hour_offset, columns), columns, ["kind", "parsed", *timed])
 
 
-def state_of(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The same from decoded sentences; they are read twice, so a long log is better decoded into a table first."""
+def state_of(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """The same from decoded sentences, with the columns ``keep`` of them."""
     carried, timed = list(columns), "ts" in rows.columns
     if timed:
         rows, carried = rows.withColumn("fix_ts", F.when(F.col("has_fix"), F.col("ts"))), [*carried, "fix_ts"]
-    state = carry_forward(rows, ["device_id"], ORDER, _line_bucket(), carried)
-    out = ["device_id", *ORDER, "kind", "parsed"]
-    cols: list[Column] = [F.col(c) for c in out + (["ts"] if timed else [])]
+    out = list(dict.fromkeys(["device_id", *ORDER, *keep, *(["ts"] if timed else [])]))
+    state = carry_forward(rows.select(*out, *carried), ["device_id"], ORDER, _line_bucket(), carried)
+    cols: list[Column] = [F.col(c) for c in ["device_id", *ORDER, *keep]]
     cols += [F.coalesce(F.col(c), F.expr(INITIAL_STATE[c])).alias(c) for c in columns]
     if timed:
         micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("fix_ts").cast("timestamp"))
@@ -144,9 +145,8 @@ def state_of(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def track(lines: DataFrame, hour_offset: int = 0) -> DataFrame:
     """The state in the forms a display shows: position, speed, course, date and clock as text and numbers."""
-    state = receiver_state(
-        lines, hour_offset, ["time", "date", "latitude", "longitude", "speed_knots", "course", "altitude", "valid", "hdop"]
-    )
+    columns = ["time", "date", "latitude", "longitude", "speed_knots", "course", "altitude", "valid", "hdop"]
+    state = state_of(decode(lines, hour_offset, columns), columns, ["kind"])
     lat, lon, knots = F.col("latitude"), F.col("longitude"), F.col("speed_knots")
     keep = ["device_id", *ORDER, "kind", "valid", "altitude", "hdop", "course", "speed_knots"]
     keep += ["ms_since_fix"] if "ms_since_fix" in state.columns else []
@@ -173,7 +173,8 @@ def satellite_groups(lines: DataFrame) -> DataFrame:
     whether the group's last sentence has arrived.
     """
     gsv = decode(lines, columns=["sv_sentences", "sv_sentence", "satellites"], kinds=["GSV"]).where("parsed")
-    start = gsv.withColumn("group", F.when(F.col("sv_sentence") == 1, F.struct("seq", "part")))
+    group = F.when(F.col("sv_sentence") == 1, F.struct("seq", "part")).alias("group")
+    start = gsv.select("device_id", *ORDER, "sv_sentences", "sv_sentence", "satellites", group)
     rows = carry_forward(start, ["device_id"], ORDER, _line_bucket(), ["group"])
     keys = ["device_id", "group"]
     seen = rows.select(*keys, *ORDER, "sv_sentences", "sv_sentence", F.posexplode_outer("satellites").alias("at", "sat"))

@@ -41,6 +41,13 @@ def _readings(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame
     return readings.parse_readings(events.messages(spark, sf_dir), columns)
 
 
+def _landed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: what is used more than once is parsed once."""
+    out = shared_dir(spark, name)
+    overwrite_parquet(df, out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.hourly_rollup(_readings(spark, sf_dir, rollup.HOURLY_INPUT))
 
@@ -63,7 +70,7 @@ def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last day's unrounded parts merged into those of the time before: the same table as in one go."""
-    rows = _readings(spark, sf_dir, rollup.HOURLY_INPUT)
+    rows = _landed(spark, _readings(spark, sf_dir, rollup.HOURLY_INPUT), "hourly_merged")
     cut = rows.agg(F.max("read_datetime")).scalar() - F.expr("INTERVAL 1 DAY")
     before, after = (rows.where(c) for c in (F.col("read_datetime") <= cut, F.col("read_datetime") > cut))
     parts = rollup.hourly_parts(before).unionByName(rollup.hourly_parts(after))
@@ -174,7 +181,7 @@ def filter_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
         filters.Choice("datetime", dates=("2024-01-03", "2024-01-25")),
         filters.Choice("avg_bme_temp", low=45.0, high=55.0),
     ]
-    return plain(filters.filter_by_choice(_hourly(spark, sf_dir), choices))
+    return plain(filters.filter_by_choice(_landed(spark, _hourly(spark, sf_dir), "filter_composed"), choices))
 
 
 def date_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +246,7 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_and_fresh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
     """The table as a run 90 minutes ago left it, a run over what a week's retention still holds, and where that begins."""
-    rows = _readings(spark, sf_dir, rollup.HOURLY_INPUT)
+    rows = _landed(spark, _readings(spark, sf_dir, rollup.HOURLY_INPUT), "stored_and_fresh")
     newest = rows.agg(F.max("read_datetime")).scalar()
     at = F.col("read_datetime")
     stored = rollup.hourly_rollup(rows.where(at <= newest - F.expr("INTERVAL 90 MINUTES")))
@@ -263,8 +270,8 @@ def mart_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "stream_hourly")
     rows = hourly.hourly_stream(events.message_stream(spark, sf_dir))
-    changes.run_available(changes.change_writer(rows, f"{out}/changes", f"{out}/checkpoint"))
     keys = ["year", "month", "day", "hour"]
+    changes.run_available(changes.change_writer(rows, f"{out}/changes", f"{out}/checkpoint", keys))
     return plain(changes.current_rows(spark, f"{out}/changes", rows.schema, keys).select(*HOURLY_COLUMNS))
 
 
@@ -278,10 +285,9 @@ def late_hours_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_last_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "stream_last_30")
-    rows = last_points.last_points_stream(events.message_stream(spark, sf_dir))
-    changes.run_available(changes.change_writer(rows, f"{out}/changes", f"{out}/checkpoint"))
-    keys, schema = last_points.buffer_keys(False), last_points.buffer_schema(False)
-    return plain(last_points.buffered_points(changes.current_rows(spark, f"{out}/changes", schema, keys)))
+    stream = events.message_stream(spark, sf_dir)
+    changes.run_available(last_points.points_writer(stream, f"{out}/points", f"{out}/checkpoint", per_source=False))
+    return plain(last_points.written_points(spark, f"{out}/points", per_source=False))
 
 
 def stream_last_30_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:

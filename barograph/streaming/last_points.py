@@ -1,6 +1,6 @@
 """The live charts' buffer of the newest points, on a stream.
 
-Two forms. ``points_writer`` keeps no state: every micro-batch writes its own newest points of each source, cut
+Two forms. ``points_writer`` keeps no state: every micro-batch writes its own newest points, of all or of each source, cut
 down in every task before they are shuffled, and the reader takes the newest of all batches. ``last_points_stream``
 holds the buffer in Spark's state store. There the log is dealt out over slices: the newest n points are among the
 newest n of each slice, so neither the whole log nor one busy source is ever a single group.
@@ -21,6 +21,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barograph.operators.live import BUFFER, last_points, last_points_per_source, live_projection
+from barograph.streaming.changes import EVERY, write_batch, written_rows
 
 POINT = T.StructType(
     [
@@ -39,18 +40,25 @@ _STATE = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in _
 _KEY_TYPES = {"source": T.StringType(), "slice": T.IntegerType()}
 
 
-def points_writer(messages: DataFrame, path: str, checkpoint: str, n: int = BUFFER) -> DataStreamWriter:
-    """A batch repeated after a failure overwrites its own folder."""
+def _newest(points: DataFrame, n: int, per_source: bool) -> DataFrame:
+    return last_points_per_source(points, n) if per_source else last_points(points, n)
+
+
+def points_writer(
+    messages: DataFrame, path: str, checkpoint: str, n: int = BUFFER, per_source: bool = True, every: int = EVERY
+) -> DataStreamWriter:
+    """A batch repeated after a failure overwrites its own folder; old batches are folded into their newest points."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        last_points_per_source(rows, n).drop("slot").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        needed = lambda log: _newest(log, n, per_source).drop("slot")
+        write_batch(needed(rows), batch, path, needed, every)
 
     points = live_projection(messages).select(*POINT.fieldNames())
     return points.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
-def written_points(spark: SparkSession, path: str, n: int = BUFFER) -> DataFrame:
-    return last_points_per_source(spark.read.schema(POINT).parquet(path).select(*POINT.fieldNames()), n)
+def written_points(spark: SparkSession, path: str, n: int = BUFFER, per_source: bool = True) -> DataFrame:
+    return _newest(written_rows(spark, path, POINT).drop("batch"), n, per_source)
 
 
 def buffer_keys(per_source: bool) -> list[str]:
@@ -77,9 +85,14 @@ def _keep_newest(keys: list[str], n: int):
     return step
 
 
-def last_points_stream(messages: DataFrame, n: int = BUFFER, slices: int = 16, per_source: bool = False) -> DataFrame:
-    """The buffer of each slice (and source) whenever it changes; ``buffered_points`` puts the slices together."""
+def last_points_stream(messages: DataFrame, n: int = BUFFER, slices: int | None = None, per_source: bool = False) -> DataFrame:
+    """The buffer of each slice (and source) whenever it changes; ``buffered_points`` puts the slices together.
+
+    There are as many slices as shuffle partitions unless told otherwise. All messages pass through Python here;
+    ``points_writer`` cuts each batch down before and is the one for a busy log.
+    """
     keys = buffer_keys(per_source)
+    slices = slices or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = live_projection(messages).select(
         F.col("picow_local_ip").alias("source"),
         F.pmod(F.xxhash64("partition", "offset"), F.lit(slices)).cast("int").alias("slice"),
@@ -95,4 +108,4 @@ def buffered_points(current: DataFrame, n: int = BUFFER, per_source: bool = Fals
     """The buffer of all sources together, or of each source, from the newest rows of ``last_points_stream``."""
     points = current.select(F.inline(F.arrays_zip(*_STATE.fieldNames())))
     points = points.select(F.timestamp_micros("micros").alias("timestamp"), *_STORED.fieldNames()[1:])
-    return last_points_per_source(points, n) if per_source else last_points(points, n)
+    return _newest(points, n, per_source)

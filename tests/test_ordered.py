@@ -3,10 +3,13 @@ from __future__ import annotations
 import random
 
 import pytest
+from conftest import SMALL, plan
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barograph.operators import gps
 from barograph.operators.ordered import carry_forward, previous_row
+from barograph.plans.catalogue import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +56,20 @@ def test_rows_that_tie_are_all_kept(spark):
     df = spark.createDataFrame([("a", 1, i) for i in range(20)], "k string, seq long, v int")
     assert previous_row(df, ["k"], ["seq"], F.col("seq"), ["v"]).count() == 20
     assert carry_forward(df, ["k"], ["seq"], F.col("seq"), ["v"]).count() == 20
+
+
+@pytest.mark.parametrize("name", ["cadence_gaps", "nmea_track", "nmea_receiver", "nmea_satellites"])
+def test_one_scan_and_one_decode(spark, name, monkeypatch):
+    """Over several splits and buckets; the plan that was run, not the one before adaption."""
+    monkeypatch.setattr(gps, "BUCKET_LINES", 64)
+    for key, value in (("maxPartitionBytes", "8000"), ("openCostInBytes", "0")):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        df = QUERIES[name](spark, SMALL)
+        assert df.collect() is not None
+        ran = plan(df).split("== Initial Plan ==")[0]
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert ran.count("FileScan parquet") == 1
+    assert ran.count("ReusedExchange") == 1

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 from conftest import SMALL, document
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def rows_of(df):
 
 def run_hourly(spark, folder, **kw):
     df = hourly.hourly_stream(stream_log(spark, f"{folder}/in", 1), **kw)
-    changes.run_available(changes.change_writer(df, f"{folder}/changes", f"{folder}/cp"))
+    changes.run_available(changes.change_writer(df, f"{folder}/changes", f"{folder}/cp", HOUR_KEY))
     return changes.current_rows(spark, f"{folder}/changes", df.schema, HOUR_KEY).select(*HOURLY_COLUMNS)
 
 
@@ -99,7 +101,7 @@ def test_buffers_over_several_batches(spark, folder, log):
         changes.run_available(last_points.points_writer(stream, f"{folder}/points", f"{folder}/cp0"))
         for per_source in (False, True):
             df = last_points.last_points_stream(stream, per_source=per_source, slices=4)
-            changes.run_available(changes.change_writer(df, f"{folder}/changes{per_source}", f"{folder}/cp{per_source}"))
+            changes.run_available(changes.change_writer(df, f"{folder}/changes{per_source}", f"{folder}/cp{per_source}", last_points.buffer_keys(per_source)))
     points = live.live_projection(read_log(spark, f"{folder}/in"))
     for per_source in (False, True):
         keys, schema = last_points.buffer_keys(per_source), last_points.buffer_schema(per_source)
@@ -109,6 +111,44 @@ def test_buffers_over_several_batches(spark, folder, log):
     assert rows_of(last_points.written_points(spark, f"{folder}/points").select(*names)) == rows_of(live.last_points_per_source(points).select(*names))
 
 
+def test_old_batches_are_folded_into_a_base(spark, folder, log):
+    """Seven batches with a base after every second: the tables are as without, and old folders go."""
+    for i in range(7):
+        arrive(folder, log(*[document(j, ip=f'"{j % 2}"') for j in range(4)], first=3 + 4 * i, start=f"2024-03-01 {10 + i // 4}:0{i % 4}:00"))
+    stream = stream_log(spark, f"{folder}/in", 1)
+    hours = hourly.hourly_stream(stream)
+    changes.run_available(changes.change_writer(hours, f"{folder}/changes", f"{folder}/cp", HOUR_KEY, every=2))
+    log_rows = read_log(spark, f"{folder}/in")
+    current = changes.current_rows(spark, f"{folder}/changes", hours.schema, HOUR_KEY).select(*HOURLY_COLUMNS)
+    assert rows_of(current) == rows_of(batch_hourly(log_rows))
+    points = live.live_projection(log_rows)
+    names = last_points.POINT.fieldNames() + ["slot"]
+    for per_source, want in ((True, live.last_points_per_source(points, 5)), (False, live.last_points(points, 5))):
+        at = f"{folder}/points{per_source}"
+        changes.run_available(last_points.points_writer(stream, at, f"{at}-cp", 5, per_source, every=2))
+        assert rows_of(last_points.written_points(spark, at, 5, per_source).select(*names)) == rows_of(want.select(*names))
+    for at in (f"{folder}/changes", f"{folder}/pointsTrue", f"{folder}/pointsFalse"):
+        assert len([p for p in os.listdir(at) if p.startswith("batch=")]) < 5
+        assert len([p for p in os.listdir(at) if p.startswith("base=")]) == 2
+
+
+def test_a_batch_repeated_after_its_base_changes_nothing(spark, folder):
+    def write(batch, *rows):
+        df = spark.createDataFrame(rows, "k string, v long")
+        changes.write_batch(df, batch, folder, lambda log: changes.newest_rows(log, ["k"]), every=2)
+        return df.schema
+
+    write(0, ("a", 1), ("b", 1))
+    write(1, ("a", 2))
+    schema = write(1, ("a", 2))
+    assert rows_of(changes.current_rows(spark, folder, schema, ["k"])) == [("a", 2), ("b", 1)]
+    write(2, ("b", 3))
+    write(3, ("c", 4))
+    write(3, ("c", 4))
+    assert rows_of(changes.current_rows(spark, folder, schema, ["k"])) == [("a", 2), ("b", 3), ("c", 4)]
+    assert changes.current_rows(spark, f"{folder}/nothing", schema, ["k"]).count() == 0
+
+
 def test_stream_of_the_events_table_has_the_envelope(spark):
     stream = events.message_stream(spark, SMALL)
     assert stream.isStreaming and [f.dataType for f in stream.schema] == [f.dataType for f in MESSAGES]
