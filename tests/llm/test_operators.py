@@ -220,6 +220,49 @@ def test_scores_of_the_suffix_tree(spark, docs, nothing):
     assert {r["base_score"] for r in suffix_tree.score(spark, docs, F.lit(False)).where("n_tokens = 1").collect()} == {0.0}
 
 
+def plain_tree_scores(given, learn):
+    """The suffix tree of all contexts seen twice or more that pass the divergence test, place by place."""
+    symbols = lambda t: [10] * 5 + list(b" ".join(words_of(t)) + b"\n")
+    code = lambda s, i, k: bytes(s[i - k : i])
+    counts = {}
+    for (_, t, *_), x in zip(given, learn, strict=True):
+        s = symbols(t)
+        for i in range(5, len(s)) if x else ():
+            for k in range(6):
+                counts.setdefault(code(s, i, k), Counter())[s[i]] += 1
+    total = {c: sum(n.values()) for c, n in counts.items()}
+    saved = lambda c: sum(n * math.log(n / total[c] / (counts[c[1:]][x] / total[c[1:]])) for x, n in counts[c].items())
+    kept = {c for c in counts if c and total[c] >= 2 and saved(c) >= math.log(total[b""])}
+
+    def rate(c, x):
+        if not c:
+            return (counts[b""][x] + 0.5) / (total[b""] + 0.5 * 256)
+        return (counts[c][x] + 10 * rate(c[1:], x)) / (total[c] + 10) if c in kept else rate(c[1:], x)
+
+    return [sum(math.log10(rate(code(s, i, 5), s[i])) for i in range(5, len(s))) for s in (symbols(t) for _, t, *_ in given)], {c: total[c] for c in kept}
+
+
+@pytest.mark.parametrize("share", [suffix_tree.COMMON_CONTEXT, 2e-3, 2.0])
+def test_rare_contexts_count_wherever_they_are_looked_up(spark, share):
+    rng = random.Random(8)
+    given = [(i, prose(rng, 200) + (f" zyxwv{'qj'[i % 2]}kpt" * (1 + i % 3) if i % 4 == 0 else "")) for i in range(60)]
+    learn = [zlib.crc32(str(d).encode()) % 10 != 0 for d, _ in given]
+    want, kept = plain_tree_scores(given, learn)
+    # some contexts are too rare for the tree of the tasks, or all are
+    assert share < 1e-3 or min(kept.values()) < share * sum(len(t) for _, t in given)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark, spark.createDataFrame(given, "doc_id long, text string"), common_context=share).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(math.isclose(got[d], x, rel_tol=1e-5) for (d, _), x in zip(given, want, strict=True))
+
+
+def test_a_context_is_kept_by_its_support_whatever_else_there_is(spark):
+    code = lambda before, x: int.from_bytes(before * 5 + x, "big")
+    for others in (10_000, 10_000_000):
+        counted = spark.createDataFrame([(code(b"b", b"a"), others), (code(b"q", b"z"), 20)], "code long, n long")
+        assert (1, ord("q")) in {(r["length"], r["context"]) for r in suffix_tree.contexts(counted, others + 20).collect()}
+
+
 def test_walk_takes_the_longest_suffix_state():
     rng = np.random.default_rng(0)
     text = " ".join(rng.choice(WORDS, 3000)).encode()
