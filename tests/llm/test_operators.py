@@ -17,7 +17,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from barograph.llm import bpe, labelled, mixing, quality_crf, rules, simhash, suffix_tree, topk, toxicity, urls, warc
+import corpus_pipeline
+from barograph.llm import bpe, labelled, mixing, near_copies, quality_crf, rules, simhash, suffix_tree, topk, toxicity, urls, warc
 from barograph.llm.components import smallest_reachable
 
 SCHEMA = "doc_id long, text string, source string, __order2 string"
@@ -128,6 +129,36 @@ def test_near_duplicates(spark, docs, nothing):
     assert simhash.near_duplicates(spark, nothing).count() == 0
 
 
+@pytest.mark.parametrize("part", [4, 1024])
+def test_the_pipeline_keeps_one_of_each_group_of_near_copies(spark, nothing, part):
+    """Beside all pairs' exact similarity; most planted copies differ in more bits than the contract of op3 allows."""
+    rng = random.Random(11)
+    texts = [None, "", " \n", "one two", "One  two", "one two three"]
+    for n in (60, 150, 400):
+        for _ in range(4):
+            words = [rng.choice(WORDS) for _ in range(n)]
+            texts.append(" ".join(words))
+            for changes in (1, 1, 2, 3, 5, 12):
+                copy = list(words)
+                for at in rng.sample(range(n), changes):
+                    copy[at] = f"new{rng.random()}"
+                texts.append(" ".join(copy))
+    order = rng.sample(range(len(texts)), len(texts))
+    given = [(d, texts[i]) for d, i in enumerate(order)] + [(0, texts[order[0]]), (None, "no id")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words_of(t)) else set() for _, t in given]
+    near = [[j for j, b in enumerate(sets) if (5 * len(a & b) >= 4 * len(a | b))] for a in sets]
+    of = list(range(len(given)))
+    for _ in given:
+        of = [min(of[j] for j in js) for js in near]
+    want = Counter(min((d for (d, _), x in zip(given, of, strict=True) if x == c and d is not None), default=None) for c in set(of))
+    prints = [plain_fingerprint(t) for _, t in given]
+    assert any(bin(prints[i] ^ prints[j]).count("1") > 4 for i, js in enumerate(near) for j in js)
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    assert Counter(r["doc_id"] for r in near_copies.one_of_each(spark, docs, part).collect()) == want
+    assert Counter(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+    assert near_copies.one_of_each(spark, nothing).count() == 0
+
+
 @pytest.mark.parametrize("part", [16, 4096])
 def test_links_connect_all_that_is_close(spark, part):
     rng = random.Random(1)
