@@ -263,10 +263,14 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, done, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
 
 
+def _is_of(kind: str) -> Callable[[Column], Column]:
+    return lambda s: F.when(s["kind"] == kind, True)
+
+
 def span_digests(docs: DataFrame) -> DataFrame:
     """doc_id, counts and a digest of the base kinds' spans, and all spans as text."""
     base = [k.name for k in BASE]
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [F.size(F.array_compact(F.transform("spans", _is_of(k)))).cast("long").alias(f"n_{k}") for k in base]
     fixed = F.filter("spans", lambda s: s["kind"].isin(base))
     return personal_data(docs, ["doc_id"]).select("doc_id", *counts, F.sha2(written(fixed).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
