@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import bpe, mixing, personal_data, quality_crf, repeats, rules, simhash, suffix_tree, topk, toxicity, urls, warc
+from barograph.llm import bpe, collocations, mixing, personal_data, quality_crf, repeats, rules, simhash, suffix_tree, topk, toxicity, urls, warc
 from barograph.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -68,6 +68,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases whose words belong together most."""
+    return collocations.collocations(spark, table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document's text holds personal data."""
     return personal_data.span_digests(table(spark, sf_dir, "documents"))
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_personal_data": op12_personal_data,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -82,4 +82,26 @@ f as (select *, min(page_id) over (partition by payload_digest) as first from p)
 select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
     case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f"""
 
-ORACLE = {"op1_mixing": _OP1, "op2_url_filters": _OP2, "op6_quality_rules": _OP6, "op8_top_k": _OP8, "op9_warc": _OP9}
+_OP11 = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+a as (select lang, w[i] as w1, w[i + 1] as w2, w[i + 2] as w3 from (select lang, w, unnest(range(1, len(w) + 1)) as i from w)),
+n as (select lang, count(*) as n from a group by lang),
+f1 as (select lang, w1, count(*) as f from a group by all),
+f2 as (select lang, w1, w2, count(*) as f from a where w2 is not null group by all having count(*) >= 10),
+f3 as (select lang, w1, w2, w3, count(*) as f from a where w3 is not null group by all having count(*) >= 10),
+c2 as (select f2.lang, f2.w1 || ' ' || f2.w2 as phrase, f2.f as a, x.f as l, y.f as r from f2
+    join f1 x on x.lang = f2.lang and x.w1 = f2.w1 join f1 y on y.lang = f2.lang and y.w1 = f2.w2
+    where not exists (select 1 from f3 where f3.lang = f2.lang and 100 * f3.f >= 50 * f2.f
+        and ((f3.w1 = f2.w1 and f3.w2 = f2.w2) or (f3.w2 = f2.w1 and f3.w3 = f2.w2)))),
+c3 as (select f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 as phrase, f3.f as a, x.f as l1, y.f as r1, u.f as l2, v.f as r2 from f3
+    join f1 x on x.lang = f3.lang and x.w1 = f3.w1 join f2 y on y.lang = f3.lang and y.w1 = f3.w2 and y.w2 = f3.w3
+    join f2 u on u.lang = f3.lang and u.w1 = f3.w1 and u.w2 = f3.w2 join f1 v on v.lang = f3.lang and v.w1 = f3.w3),
+s3 as (select *, (1000000::hugeint * a * a) // (l1::hugeint * r1) as s1, (1000000::hugeint * a * a) // (l2::hugeint * r2) as s2 from c3),
+s as (select lang, phrase, a, l, r, (1000000::hugeint * a * a) // (l::hugeint * r) as score from c2 union all
+    select lang, phrase, a, case when s2 < s1 then l2 else l1 end, case when s2 < s1 then r2 else r1 end, least(s1, s2) from s3),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from s)
+select o.lang, rank::integer as rank, phrase, a, l, r, n, score::bigint as score from o join n using (lang) where rank <= 2000"""
+
+ORACLE = {"op1_mixing": _OP1, "op2_url_filters": _OP2, "op6_quality_rules": _OP6, "op8_top_k": _OP8, "op9_warc": _OP9, "op11_collocations": _OP11}
