@@ -34,8 +34,10 @@ NO_LANG = "und"
 PART, CELLS = 2_000_000, 4096
 #: Bytes of text whose places are sorted together before they are routed.
 SLICE = 8 << 20
-#: Copies of a counted piece, over which the phrases that begin or end with it are dealt.
-SALTS = 16
+#: Copies of a counted piece of one and of two words, over which the phrases that begin or end with it are dealt.
+SALTS = {1: 16, 2: 4}
+#: Groups of phrases that are ranked first, so that a language's last ranking has ``GROUPS`` times the wanted rows at most.
+GROUPS = 16
 
 #: Characters that part pieces, as bytes that no text has; words are parted by blanks and tabs.
 _BREAK = b"\xff"
@@ -324,8 +326,9 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST_COUNT
     return spark.read.parquet(at), places.where("cell = -1").select("lang", F.col("places").alias("n"))
 
 
-def _with_count(phrases: DataFrame, counts: DataFrame, words: list[str], name: str, salts: int = SALTS) -> DataFrame:
-    """``phrases`` with the count of the piece ``words``. Those of one piece are dealt over ``salts`` copies of its count."""
+def _with_count(phrases: DataFrame, counts: DataFrame, words: list[str], name: str) -> DataFrame:
+    """``phrases`` with the count of the piece ``words``. Those of one piece are dealt over copies of its count."""
+    salts = SALTS[len(words)]
     piece = [f"__{i}" for i in range(len(words))]
     size = F.size(F.array_compact(F.array("w1", "w2", "w3")))
     pieces = counts.where(size == len(words)).select(F.col("lang").alias("__lang"), *[F.col(f"w{i + 1}").alias(c) for i, c in enumerate(piece)], F.col("f").alias(name))
@@ -371,6 +374,9 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST_COUNT,
     triples = triples.select("lang", "w1", "w2", "w3", "a", *[c.alias(n) for n, c in cut.items()])
 
     both = pairs.select(*triples.columns).unionByName(triples).withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    group = F.pmod(F.xxhash64("phrase"), F.lit(GROUPS))
+    both = both.withColumn("__at", F.row_number().over(Window.partitionBy("lang", group).orderBy(*order))).where(F.col("__at") <= first)
+    best = Window.partitionBy("lang").orderBy(*order)
     ranked = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= first)
     return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
