@@ -106,10 +106,18 @@ def _all_known(*cols: Column) -> Column:
     return reduce(and_, [c.isNotNull() for c in cols])
 
 
+#: A number as sentences have it. A cast alone would also take Java's own forms, such as 12.5f, 12.5d or 0x1p3.
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity|nan)\s*$"
+
+
+def _real(t: Column) -> Column:
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+
+
 def _clock(t: Column, hour_offset: int) -> Column:
     """Hours are shifted without touching the date; a blank is midnight."""
-    h, m, s = F.substring(t, 1, 2).try_cast("int"), F.substring(t, 3, 2).try_cast("int"), F.substring(t, 5, 90)
-    s = s.try_cast("double")
+    h, m = F.substring(t, 1, 2).try_cast("int"), F.substring(t, 3, 2).try_cast("int")
+    s = _real(F.substring(t, 5, 90))
     return F.when(t == "", F.expr(INITIAL_STATE["time"])).when(
         _all_known(h, m, s),
         F.struct(F.pmod(h + hour_offset, F.lit(24)).alias("hour"), m.alias("minute"), s.alias("second")),
@@ -125,7 +133,7 @@ def _day(t: Column) -> Column:
 
 def _coordinate(t: Column, hemisphere: Column, degree_digits: int) -> Column:
     degrees = F.substring(t, 1, degree_digits).try_cast("int")
-    minutes = F.substring(t, degree_digits + 1, 90).try_cast("double")
+    minutes = _real(F.substring(t, degree_digits + 1, 90))
     return F.when(
         _all_known(degrees, minutes) & hemisphere.isin(HEMISPHERES),
         F.struct(degrees.alias("degrees"), minutes.alias("minutes"), hemisphere.alias("hemisphere")),
@@ -178,8 +186,7 @@ def read_values(kind: Column, fields: Column, hour_offset: int = 0) -> dict[str,
 
     def number(name: str, blank: float | None = None) -> Column:
         t = text(name)
-        # Java's suffixes of a number (12.5f, 12.5d) are no part of one in a sentence
-        read = F.when(~t.rlike(r"[0-9.][fFdD]\s*$"), t.try_cast("double"))
+        read = _real(t)
         return read if blank is None else F.when(t == "", F.lit(blank)).otherwise(read)
 
     whole = {n: text(n).try_cast("int") for n in ("fix_stat", "used", "fix_type", "sv_total", "sv_index", "sv_view")}

@@ -24,6 +24,7 @@ from barograph.functions.sentences import (
     verdicts,
     whole_numbers_until_blank,
 )
+from barograph.operators import chunks
 from barograph.operators.once import computed_once
 from barograph.operators.ordered import carry_forward
 
@@ -44,6 +45,11 @@ def framed(lines: DataFrame) -> DataFrame:
     return computed_once(summed, {"status": status, "fields": F.split("body", ",")}).drop("piece", "body", "expected")
 
 
+def rejoined(lines: DataFrame) -> DataFrame:
+    """A log whose rows were cut anywhere, as one whose rows hold whole sentences: see ``chunks``. Frame what it gives."""
+    return chunks.rejoined(lines, _line_bucket())
+
+
 def _supported(rows: DataFrame, kinds: list[str]) -> DataFrame:
     name = F.col("fields")[0]
     names = [n for n in SUPPORTED if n[2:] in kinds]

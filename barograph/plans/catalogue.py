@@ -321,6 +321,21 @@ def nmea_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gps.fixes(_gps(spark, sf_dir))
 
 
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in rows cut anywhere, put together again."""
+    return gps.rejoined(events.gps_chunks(events.read_events(spark, sf_dir)))
+
+
+def nmea_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence quality of a log whose rows are cut anywhere, some sentences broken off: the others count as if whole."""
+    return gps.sentence_quality(_chunked(spark, sf_dir))
+
+
+def nmea_chunk_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions from the same log; a sentence is known by the row that it begins in."""
+    return gps.fixes(_chunked(spark, sf_dir)).withColumn("seq", F.expr("seq div 2"))
+
+
 def nmea_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gps.track(_gps(spark, sf_dir), hour_offset=5)
 
@@ -370,7 +385,7 @@ QUERIES: dict[str, Query] = {
         filter_composed, date_cutoff, live_projection, last_30_points, last_30_per_source, latest_reading, latest_source,
         humidity_band, memory_split, size_texts, source_freshness, topic_profile, cadence_gaps, top_sources, mart_match,
         mart_diff, mart_upsert, stream_hourly, late_hours_repaired, stream_last_30, stream_last_30_per_source, stream_landing, stream_live,
-        nmea_quality, nmea_fixes, nmea_track, nmea_receiver, nmea_satellites, calibrated_readings, calibrated_datasheet,
+        nmea_quality, nmea_fixes, nmea_chunks, nmea_chunk_fixes, nmea_track, nmea_receiver, nmea_satellites, calibrated_readings, calibrated_datasheet,
         calibrate_roundtrip, calibration_unpacked, hourly_job_marts, hourly_stored, sources_exported, datetimes_coerced,
     )
 }

@@ -128,7 +128,10 @@ _GPS = (
 g AS (
   SELECT u AS device_id, n AS seq, ts, k, c / 100.0 AS value, n % 6 AS kind_no,
          ['RMC', 'GLL', 'VTG', 'GGA', 'GSA', 'GSV'][n % 6 + 1] AS kind,
-         n % 50 > 1 AS clean, n % 7 <> 0 AS active, n % 11 <> 0 AS fixed, 1 + n % 3 AS fix_type,
+         n % 50 > 1 AS clean, n % 7 <> 0 AS active,
+         n % 120 = 66 OR (n % 120 = 67 AND n % 7 <> 0) AS broken,
+         CASE WHEN n % 120 = 66 THEN 'nothing' WHEN n % 120 = 67 AND n % 7 <> 0 THEN 'clock'
+           ELSE ['RMC', 'GLL', 'VTG', 'GGA', 'GSA', 'GSV'][n % 6 + 1] END AS sets, n % 11 <> 0 AS fixed, 1 + n % 3 AS fix_type,
          u % 90 AS lat_d, (n * 7) % 6000 AS lat_m, CASE WHEN u % 2 = 0 THEN 'N' ELSE 'S' END AS lat_h,
          u % 180 AS lon_d, (n * 11) % 6000 AS lon_m, CASE WHEN u % 3 = 0 THEN 'E' ELSE 'W' END AS lon_h,
          (n % 3600) / 10.0 AS course, k % 13 AS used, k / 10.0 AS hdop, 1 + n // 6 % 3 AS sv_index
@@ -167,20 +170,20 @@ _TRACK = (
     + """
 s AS (
   SELECT device_id, seq, kind, ts,
-    CASE WHEN kind IN ('RMC', 'GLL', 'GGA') THEN ts END AS clock_ts,
-    CASE WHEN kind = 'RMC' THEN ts END AS date_ts,
-    CASE WHEN kind IN ('RMC', 'GLL') THEN active END AS valid,
-    CASE WHEN kind IN ('RMC', 'GLL') THEN CASE WHEN active THEN lat_d ELSE 0 END WHEN kind = 'GGA' AND fixed THEN lat_d END AS lat_d,
-    CASE WHEN kind IN ('RMC', 'GLL') THEN CASE WHEN active THEN lat_m ELSE 0 END WHEN kind = 'GGA' AND fixed THEN lat_m END AS lat_m,
-    CASE WHEN kind IN ('RMC', 'GLL') THEN CASE WHEN active THEN lat_h ELSE 'N' END WHEN kind = 'GGA' AND fixed THEN lat_h END AS lat_h,
-    CASE WHEN kind IN ('RMC', 'GLL') THEN CASE WHEN active THEN lon_d ELSE 0 END WHEN kind = 'GGA' AND fixed THEN lon_d END AS lon_d,
-    CASE WHEN kind IN ('RMC', 'GLL') THEN CASE WHEN active THEN lon_m ELSE 0 END WHEN kind = 'GGA' AND fixed THEN lon_m END AS lon_m,
-    CASE WHEN kind IN ('RMC', 'GLL') THEN CASE WHEN active THEN lon_h ELSE 'W' END WHEN kind = 'GGA' AND fixed THEN lon_h END AS lon_h,
-    CASE WHEN kind = 'RMC' THEN CASE WHEN active THEN value ELSE 0.0 END WHEN kind = 'VTG' THEN value END AS knots,
-    CASE WHEN kind = 'RMC' THEN CASE WHEN active THEN course ELSE 0.0 END WHEN kind = 'VTG' THEN course END AS course,
-    CASE WHEN kind = 'GGA' AND fixed THEN value END AS altitude,
-    CASE WHEN kind IN ('GGA', 'GSA') THEN hdop END AS hdop,
-    CASE WHEN (kind IN ('RMC', 'GLL') AND active) OR (kind = 'GGA' AND fixed) OR (kind = 'GSA' AND fix_type > 1) THEN ts END AS fix_ts
+    CASE WHEN sets IN ('RMC', 'GLL', 'GGA', 'clock') THEN ts END AS clock_ts,
+    CASE WHEN sets = 'RMC' THEN ts END AS date_ts,
+    CASE WHEN sets IN ('RMC', 'GLL') THEN active END AS valid,
+    CASE WHEN sets IN ('RMC', 'GLL') THEN CASE WHEN active THEN lat_d ELSE 0 END WHEN sets = 'GGA' AND fixed THEN lat_d END AS lat_d,
+    CASE WHEN sets IN ('RMC', 'GLL') THEN CASE WHEN active THEN lat_m ELSE 0 END WHEN sets = 'GGA' AND fixed THEN lat_m END AS lat_m,
+    CASE WHEN sets IN ('RMC', 'GLL') THEN CASE WHEN active THEN lat_h ELSE 'N' END WHEN sets = 'GGA' AND fixed THEN lat_h END AS lat_h,
+    CASE WHEN sets IN ('RMC', 'GLL') THEN CASE WHEN active THEN lon_d ELSE 0 END WHEN sets = 'GGA' AND fixed THEN lon_d END AS lon_d,
+    CASE WHEN sets IN ('RMC', 'GLL') THEN CASE WHEN active THEN lon_m ELSE 0 END WHEN sets = 'GGA' AND fixed THEN lon_m END AS lon_m,
+    CASE WHEN sets IN ('RMC', 'GLL') THEN CASE WHEN active THEN lon_h ELSE 'W' END WHEN sets = 'GGA' AND fixed THEN lon_h END AS lon_h,
+    CASE WHEN sets = 'RMC' THEN CASE WHEN active THEN value ELSE 0.0 END WHEN sets = 'VTG' THEN value END AS knots,
+    CASE WHEN sets = 'RMC' THEN CASE WHEN active THEN course ELSE 0.0 END WHEN sets = 'VTG' THEN course END AS course,
+    CASE WHEN sets = 'GGA' AND fixed THEN value END AS altitude,
+    CASE WHEN sets IN ('GGA', 'GSA') THEN hdop END AS hdop,
+    CASE WHEN (sets IN ('RMC', 'GLL') AND active) OR (sets = 'GGA' AND fixed) OR (sets = 'GSA' AND fix_type > 1) THEN ts END AS fix_ts
   FROM g WHERE clean
 ),
 f AS (SELECT device_id, seq, kind, ts, """
@@ -220,7 +223,7 @@ _RECEIVER = (
     _GPS
     + """
 s AS (
-  SELECT device_id, seq, kind,
+  SELECT device_id, seq, kind, broken,
     CASE WHEN kind = 'GGA' AND fixed THEN value END AS altitude,
     CASE WHEN kind = 'GGA' AND fixed THEN -20.5 END AS geoid_height,
     CASE WHEN kind = 'GGA' THEN used END AS satellites_in_use,
@@ -233,13 +236,13 @@ s AS (
     CASE WHEN kind = 'GSV' THEN 3 END AS sv_sentences, CASE WHEN kind = 'GSV' THEN sv_index END AS sv_sentence
   FROM g WHERE clean
 ),
-f AS (SELECT device_id, seq, kind, """
+f AS (SELECT device_id, seq, kind, broken, """
     + _carried(
         ["altitude", "geoid_height", "satellites_in_use", "hdop", "pdop", "vdop", "fix_stat", "fix_type"]
         + ["satellites_used", "satellites_in_view", "sv_sentences", "sv_sentence"]
     )
     + """ FROM s)
-SELECT device_id, seq, 0 AS part, kind, true AS parsed, """
+SELECT device_id, seq, 0 AS part, kind, NOT broken AS parsed, """
     + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in ("altitude", "geoid_height", "hdop", "pdop", "vdop"))
     + ", "
     + ", ".join(
@@ -277,7 +280,7 @@ _FIXES = (
     _GPS
     + """
 f AS (
-  SELECT * FROM g WHERE clean AND ((kind IN ('RMC', 'GLL') AND active) OR (kind = 'GGA' AND fixed))
+  SELECT * FROM g WHERE clean AND NOT broken AND ((kind IN ('RMC', 'GLL') AND active) OR (kind = 'GGA' AND fixed))
 )
 SELECT device_id, seq, 0 AS part, kind, """
     + _CLOCK.format(h="hour(ts)", m="minute(ts)", s="CAST(second(ts) AS DOUBLE)")
@@ -292,11 +295,20 @@ _QUALITY = (
     _GPS.rstrip().rstrip(",")
     + """
 SELECT device_id, count(*) AS sentences, count(*) FILTER (clean) AS clean, count(*) FILTER (seq % 50 = 1) AS crc_failed,
-  count(*) FILTER (seq % 50 = 0) AS bad_hex, CAST(0 AS BIGINT) AS incomplete, count(*) FILTER (clean) AS parsed, """
-    + ", ".join(f"count(*) FILTER (clean AND kind = '{k}') AS {k.lower()}" for k in ("RMC", "GLL", "VTG", "GGA", "GSA", "GSV"))
+  count(*) FILTER (seq % 50 = 0) AS bad_hex, CAST(0 AS BIGINT) AS incomplete, count(*) FILTER (clean AND NOT broken) AS parsed, """
+    + ", ".join(f"count(*) FILTER (clean AND NOT broken AND kind = '{k}') AS {k.lower()}" for k in ("RMC", "GLL", "VTG", "GGA", "GSA", "GSV"))
     + " FROM g GROUP BY device_id"
 )
 
+# The log in chunks: the same, but for the sentences that break off.
+_CHUNKS = (
+    _QUALITY.replace("n % 50 > 1 AS clean", "n % 50 > 1 AND n % 31 <> 17 AS clean")
+    .replace("FILTER (seq % 50 = 1)", "FILTER (seq % 50 = 1 AND seq % 31 <> 17)")
+    .replace("FILTER (seq % 50 = 0)", "FILTER (seq % 50 = 0 AND seq % 31 <> 17)")
+    .replace("CAST(0 AS BIGINT) AS incomplete", "count(*) FILTER (seq % 31 = 17) AS incomplete")
+)
+_CHUNK_FIXES = _FIXES.replace("n % 50 > 1 AS clean", "n % 50 > 1 AND n % 31 <> 17 AS clean")
+
 
 def _calibrated(preshift: bool, select: str) -> str:
     """Compensation in whole numbers of any size; every division rounds down."""
@@ -450,6 +462,8 @@ FROM z WHERE epoch_us(ts) - epoch_us(prev) > 3600000000""",
     "stream_live": _LIVE + " SELECT * FROM live",
     "nmea_quality": _QUALITY,
     "nmea_fixes": _FIXES,
+    "nmea_chunks": _CHUNKS,
+    "nmea_chunk_fixes": _CHUNK_FIXES,
     "nmea_track": _TRACK,
     "nmea_receiver": _RECEIVER,
     "nmea_satellites": _SATELLITES,

@@ -6,7 +6,7 @@ expected results can be worked out from ``events`` without any parsing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barograph.functions.sentences import checksum
@@ -91,16 +91,17 @@ def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gps_lines(events: DataFrame) -> DataFrame:
     """Each event as one GPS sentence of the device ``user_id``; kind by ``event_id % 6``.
 
-    ``event_id % 50 = 0`` carries a checksum that is no number, ``= 1`` a wrong one.
+    ``event_id % 50 = 0`` carries a checksum that is no number, ``= 1`` a wrong one. ``event_id % 120 = 66`` has a clock
+    and ``= 67`` a latitude that end in a letter and are no numbers.
     """
     n, user, k = F.col("event_id"), F.col("user_id"), _k()
-    utc, day = F.date_format("ts", "HHmmss"), F.date_format("ts", "ddMMyy")
+    utc, day = F.concat(F.date_format("ts", "HHmmss"), F.when(n % 120 == 66, "f").otherwise("")), F.date_format("ts", "ddMMyy")
     value = _cents(F.col("value")).cast("string")
 
     def minutes(c: Column) -> Column:
         return F.concat(F.lpad(F.expr(f"{c} div 100").cast("string"), 2, "0"), F.lit("."), F.lpad((F.expr(c) % 100).cast("string"), 2, "0"))
 
-    lat = F.concat(F.lpad((user % 90).cast("string"), 2, "0"), minutes("(event_id * 7 % 6000)"))
+    lat = F.concat(F.lpad((user % 90).cast("string"), 2, "0"), minutes("(event_id * 7 % 6000)"), F.when(n % 120 == 67, "d").otherwise(""))
     lon = F.concat(F.lpad((user % 180).cast("string"), 3, "0"), minutes("(event_id * 11 % 6000)"))
     ns, ew = F.when(user % 2 == 0, "N").otherwise("S"), F.when(user % 3 == 0, "E").otherwise("W")
     status = F.when(n % 7 == 0, "V").otherwise("A")
@@ -147,6 +148,39 @@ def gps_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def gps_chunks(events: DataFrame) -> DataFrame:
+    """The same sentences as a device's serial line gives them: rows cut anywhere, each of the rest of one sentence and
+    the beginning of the next. Sentence ``event_id`` begins in row ``2 * event_id``; a ninth of them come in three rows.
+    ``event_id % 31 = 17`` breaks off after its first half; then noise without a start may follow.
+    """
+    lines = gps_lines(events)
+    n = F.col("seq")
+    cut = (1 + n * 7 % F.length("line")).cast("int")
+    middle = F.when(n % 9 == 0, (cut + 1 + (F.length("line") - cut) / 2).cast("int")).otherwise(cut)
+    whole = F.when(n % 31 == 17, F.left("line", F.length("line") / 2)).otherwise(F.concat("line", F.lit("\r\n")))
+    pieces = lines.select("device_id", "seq", "ts", whole.alias("line"), cut.alias("cut"), middle.alias("middle"))
+    rest = F.when(n % 31 == 17, F.lit("")).otherwise(F.substring("line", F.col("middle") + 1, F.length("line")))
+    pieces = pieces.select(
+        "device_id",
+        "seq",
+        "ts",
+        F.substring("line", F.lit(1), F.col("cut")).alias("first"),
+        F.substring("line", F.col("cut") + 1, F.col("middle") - F.col("cut")).alias("second"),
+        rest.alias("third"),
+    )
+    order = Window.partitionBy("device_id").orderBy("seq")
+    before, last = F.coalesce(F.lag("third").over(order), F.lit("")), F.lead("seq").over(order).isNull()
+    rows = pieces.withColumn("before", before).withColumn("end", F.when(last, F.col("third")).otherwise(""))
+    row = lambda step, text: F.struct((n * 2 + step).alias("seq"), text.alias("line"))
+    noise = F.when(n % 62 == 17, F.lit("\x07 noise, no start")).otherwise("")
+    rows = rows.select(
+        "device_id",
+        "ts",
+        F.inline(F.array(row(0, F.concat("before", "first")), row(1, F.concat("second", "end", noise)))),
+    )
+    return rows.where(F.col("line") != "").select("device_id", "seq", "ts", "line")
+
+
 def raw_registers(events: DataFrame) -> DataFrame:
     """Each event as one burst of eight register bytes from the device ``user_id``."""
     n, k = F.col("event_id"), _k()
