@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barograph.functions.values import naive, size_text, strip_unit
-from barograph.operators import calibration, dashboard, filters, gps, live, monitor, profile, readings, rollup, upkeep
+from barograph.operators import calibration, dashboard, filters, gps, live, monitor, offsets, profile, readings, rollup, upkeep
+from barograph.plans import hourly_job
 from barograph.plans.hourly_job import build_marts
-from barograph.schema import HOURLY_COLUMNS, HOURLY_TABLE
+from barograph.schema import HOUR_KEY, HOURLY_COLUMNS, HOURLY_TABLE
 from barograph.session import shared_dir
 from barograph.sinks.tables import export_csv, overwrite_parquet
 from barograph.sources import events
-from barograph.sources.messages import read_log
+from barograph.sources.messages import read_log, stream_log
 from barograph.sources.tables import load_hourly
-from barograph.streaming import changes, hourly, landing, last_points
+from barograph.streaming import changes, devices, hourly, landing, last_points, late
 from barograph.streaming import live as live_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,33 @@ def hourly_job_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(marts.hourly).withColumn("landed", F.lit(marts.readings).cast("bigint"))
 
 
+def _three_runs(spark: SparkSession, sf_dir: str) -> str:
+    """The job run on three parts of the log that overlap: its first half, the middle half, all of it."""
+    out = shared_dir(spark, "three_runs")
+    log = events.messages(spark, sf_dir)
+    end = log.agg(F.max("offset")).scalar()
+    at = F.col("offset")
+    for part in (log.where(at * 2 < end), log.where((at * 4 >= end) & (at * 4 < end * 3)), log):
+        hourly_job.run_incremental(spark, part, out)
+    return out
+
+
+def hourly_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly table after three runs, each of which adds what the ones before have not read."""
+    return plain(hourly_job.load_versioned(spark, _three_runs(spark, sf_dir)).hourly)
+
+
+def offset_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the three runs has read: every offset once."""
+    ledger = hourly_job.ledger(spark, _three_runs(spark, sf_dir))
+    return ledger.select("*", F.left("taken_by", F.lit(8)).cast("int").alias("run")).drop("taken_by")
+
+
+def missing_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holes of a log that has lost some stretches."""
+    return offsets.missing(events.messages(spark, sf_dir).where("offset % 101 not in (50, 51, 52) and offset % 1009 <> 7"))
+
+
 def hourly_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly table written and read back."""
     out = shared_dir(spark, "hourly_stored")
@@ -275,12 +303,27 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(changes.current_rows(spark, f"{out}/changes", rows.schema, keys).select(*HOURLY_COLUMNS))
 
 
+def _late_stream(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A stream over a log of several files, of which the last brings a tenth of all messages too late for it."""
+    out = shared_dir(spark, "late_stream")
+    arrived = events.arrived_log(spark, sf_dir, f"{out}/arrived")
+    rows = hourly.hourly_stream(stream_log(spark, arrived, 1))
+    changes.run_available(changes.change_writer(rows, f"{out}/changes", f"{out}/checkpoint", HOUR_KEY))
+    changes.run_available(late.log_writer(stream_log(spark, arrived, 1), out, f"{out}/landing"))
+    return out, changes.current_rows(spark, f"{out}/changes", rows.schema, HOUR_KEY).select(*HOURLY_COLUMNS)
+
+
+def late_hours_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's own table: what came after the watermark is missing from it."""
+    return plain(_late_stream(spark, sf_dir)[1])
+
+
 def late_hours_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream's hourly table, which late messages may be missing from, put right from the whole log."""
-    streamed = stream_hourly(spark, sf_dir)
-    zoned = {f.name: f.dataType for f in _hourly(spark, sf_dir).schema}
-    streamed = streamed.select(*(F.col(c).cast(zoned[c]) for c in streamed.columns))
-    return plain(hourly.repaired(streamed, _hourly(spark, sf_dir)).select(*HOURLY_COLUMNS))
+    """The same table after the hours that the ledger names were computed anew; a second repair finds none."""
+    out, streamed = _late_stream(spark, sf_dir)
+    while late.repair(spark, out):
+        pass
+    return plain(late.repaired_table(spark, out, streamed))
 
 
 def stream_last_30(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +340,26 @@ def stream_last_30_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(last_points.written_points(spark, f"{out}/points"))
 
 
+def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 30 points from the state store, after a stream over a log of several files that come out of order."""
+    out = shared_dir(spark, "stream_buffer")
+    log = stream_log(spark, events.arrived_log(spark, sf_dir, f"{out}/arrived"), 1)
+    rows = last_points.last_points_stream(log, per_source=True)
+    keys = last_points.buffer_keys(per_source=True)
+    changes.run_available(changes.change_writer(rows, f"{out}/changes", f"{out}/checkpoint", keys))
+    return plain(last_points.buffered_points(changes.current_rows(spark, f"{out}/changes", rows.schema, keys), per_source=True))
+
+
+def device_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each device came and went: offline by a timer, after six hours of silence."""
+    out = shared_dir(spark, "device_status_changes")
+    log = stream_log(spark, events.arrived_log(spark, sf_dir, f"{out}/arrived", late_ones=False), 1)
+    found = devices.status_changes(readings.parse_readings(log, ["id", "read_datetime", "picow_local_ip"]), 6 * 3600)
+    writer = found.writeStream.format("parquet").option("path", f"{out}/changes").option("checkpointLocation", f"{out}/checkpoint")
+    changes.run_available(writer.outputMode("append"))
+    return plain(spark.read.schema(found.schema).parquet(f"{out}/changes"))
+
+
 def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed twice from the same log; the second run must add nothing."""
     out = shared_dir(spark, "stream_landing")
@@ -384,9 +447,10 @@ QUERIES: dict[str, Query] = {
         heatmap_weekday_hour, metric_long, column_profile, filter_isin, filter_range, filter_dates, filter_regex,
         filter_composed, date_cutoff, live_projection, last_30_points, last_30_per_source, latest_reading, latest_source,
         humidity_band, memory_split, size_texts, source_freshness, topic_profile, cadence_gaps, top_sources, mart_match,
-        mart_diff, mart_upsert, stream_hourly, late_hours_repaired, stream_last_30, stream_last_30_per_source, stream_landing, stream_live,
+        mart_diff, mart_upsert, stream_hourly, late_hours_lost, late_hours_repaired, stream_last_30, stream_last_30_per_source, stream_buffer, stream_landing, stream_live,
+        device_status_changes,
         nmea_quality, nmea_fixes, nmea_chunks, nmea_chunk_fixes, nmea_track, nmea_receiver, nmea_satellites, calibrated_readings, calibrated_datasheet,
-        calibrate_roundtrip, calibration_unpacked, hourly_job_marts, hourly_stored, sources_exported, datetimes_coerced,
+        calibrate_roundtrip, calibration_unpacked, hourly_job_marts, hourly_incremental, offset_ledger, missing_offsets, hourly_stored, sources_exported, datetimes_coerced,
     )
 }
 

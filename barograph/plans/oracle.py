@@ -487,4 +487,45 @@ ORACLE["hourly_stored"] = ORACLE["hourly_rollup"]
 ORACLE["sources_exported"] = ORACLE["messages_by_source"]
 ORACLE["datetimes_coerced"] = _HOURLY + " SELECT datetime, datetime AS seen, 'h' || hour AS label FROM hourly"
 ORACLE["stream_landing"] = ORACLE["topic_profile"]
-ORACLE["late_hours_repaired"] = ORACLE["hourly_rollup"]
+# The stream drops a message if its hour had ended two hours before the newest reading of the batches but the last one:
+# Spark compares with the watermark of the batch before. The ledger takes the newest message of all batches before.
+_LATE = (
+    "WITH "
+    + _READ
+    + """on_time AS (SELECT max(ts) AS newest FROM m WHERE n % 10 <> 3),
+kept_mark AS (SELECT max(ts) AS newest FROM r WHERE n % 10 <> 3 AND n * 4 // ((SELECT max(n) FROM e) + 1) < 3),
+k AS (SELECT * FROM r WHERE n % 10 <> 3
+  OR date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT date_trunc('millisecond', newest) FROM kept_mark) - INTERVAL 2 HOUR),
+"""
+)
+ORACLE["late_hours_lost"] = _LATE + _hours("hourly", "k") + " SELECT * FROM hourly"
+ORACLE["late_hours_repaired"] = (
+    _LATE
+    + _hours("hourly", "r")
+    + """, late AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM m, on_time
+  WHERE n % 10 = 3 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= newest - INTERVAL 2 HOUR)
+SELECT hourly.*, CASE WHEN late.hour IS NULL THEN 'streamed' ELSE 'repaired' END AS status
+FROM hourly LEFT JOIN late ON date_trunc('hour', hourly.datetime) = late.hour"""
+)
+ORACLE["hourly_incremental"] = ORACLE["hourly_rollup"]
+ORACLE["offset_ledger"] = """
+WITH e AS (SELECT event_id AS n, max(event_id) OVER () AS most FROM events),
+r AS (SELECT n, CASE WHEN n * 2 < most THEN 1 WHEN n * 4 < most * 3 THEN 2 ELSE 3 END AS run FROM e)
+SELECT 'telemetry' AS topic, 0 AS "partition", min(n) AS first_offset, max(n) AS last_offset, count(*) AS messages, CAST(run AS INTEGER) AS run
+FROM r GROUP BY run"""
+ORACLE["missing_offsets"] = """
+WITH e AS (SELECT event_id AS n, lag(event_id) OVER (ORDER BY event_id) AS before FROM events
+  WHERE event_id % 101 NOT IN (50, 51, 52) AND event_id % 1009 <> 7)
+SELECT 'telemetry' AS topic, 0 AS "partition", before + 1 AS first_missing, n - 1 AS last_missing, n - before - 1 AS missing
+FROM e WHERE n - before > 1"""
+ORACLE["stream_buffer"] = ORACLE["stream_last_30_per_source"]
+ORACLE["device_status_changes"] = (
+    "WITH "
+    + _READ
+    + """g AS (SELECT ip, ts, lag(ts) OVER w AS before, lead(ts) OVER w AS after FROM r WINDOW w AS (PARTITION BY ip ORDER BY ts, n)),
+x AS (SELECT epoch_us(max(ts)) // 1000 AS mark FROM r)
+SELECT ip AS source_ip, 'ONLINE' AS status, ts AS at FROM g WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) > 21600000000
+UNION ALL
+SELECT ip, 'OFFLINE', ts + INTERVAL 6 HOUR FROM g, x WHERE epoch_us(after) - epoch_us(ts) > 21600000000
+  OR (after IS NULL AND (epoch_us(ts) + 21600000000) // 1000 + 1 <= mark)"""
+)

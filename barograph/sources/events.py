@@ -88,6 +88,25 @@ def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_messages(stream_events(spark, sf_dir))
 
 
+#: Messages with this last digit of the offset come after all others in ``arrived_log``.
+LATE_DIGIT = 3
+ARRIVALS = 4
+
+
+def arrived_log(spark: SparkSession, sf_dir: str, path: str, late_ones: bool = True) -> str:
+    """The log as files in the order of arrival, written to ``path``: ``ARRIVALS`` stretches of offsets, then the late ones.
+
+    Without ``late_ones`` each message is in its stretch.
+    """
+    log, at = messages(spark, sf_dir), F.col("offset")
+    size = log.agg(F.max("offset")).scalar() + 1
+    late = (at % 10 == LATE_DIGIT) & F.lit(late_ones)
+    for i in range(ARRIVALS + late_ones):
+        part = log.where(late) if i == ARRIVALS else log.where(~late & (F.floor(at * ARRIVALS / size) == i))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def gps_lines(events: DataFrame) -> DataFrame:
     """Each event as one GPS sentence of the device ``user_id``; kind by ``event_id % 6``.
 

@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from barograph.operators.live import BUFFER, last_points, last_points_per_source, live_projection
 from barograph.streaming.changes import EVERY, write_batch, written_rows
+from barograph.streaming.devices import use_rocksdb
 
 POINT = T.StructType(
     [
@@ -69,27 +69,36 @@ def buffer_schema(per_source: bool) -> T.StructType:
     return T.StructType([T.StructField(k, _KEY_TYPES[k]) for k in buffer_keys(per_source)] + _STATE.fields)
 
 
-def _keep_newest(keys: list[str], n: int):
-    names = _STORED.fieldNames()
+class Newest(StatefulProcessor):
+    """The newest ``n`` points of a group, as a list in the state store."""
 
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(zip(*state.get)) if state.exists else []
-        for frame in frames:
-            rows = zip(*[frame[c].tolist() for c in names])
-            kept = nlargest(n, chain(kept, rows), key=lambda row: row[:3])
+    def __init__(self, keys: list[str], n: int):
+        self.keys, self.n, self.names = keys, n, _STORED.fieldNames()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.points = handle.getListState("points", _STORED)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        kept = [tuple(p) for p in self.points.get()]
+        for frame in rows:
+            # only what can still be among the newest becomes rows of Python
+            frame = frame.nlargest(self.n, self.names[:1], keep="all")
+            kept = nlargest(self.n, chain(kept, zip(*[frame[c].tolist() for c in self.names])), key=lambda row: row[:3])
         # a missing number arrives as NaN, the only value that differs from itself
-        columns = [[None if v != v else v for v in values] for values in zip(*reversed(kept))]
-        state.update(tuple(columns))
-        yield pd.DataFrame([dict(zip([*keys, *names], [*key, *columns]))])
+        kept = [tuple(None if v != v else v for v in row) for row in reversed(kept)]
+        self.points.put(kept)
+        columns = [list(values) for values in zip(*kept)]
+        yield pd.DataFrame([dict(zip([*self.keys, *self.names], [*key, *columns]))])
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def last_points_stream(messages: DataFrame, n: int = BUFFER, slices: int | None = None, per_source: bool = False) -> DataFrame:
     """The buffer of each slice (and source) whenever it changes; ``buffered_points`` puts the slices together.
 
-    There are as many slices as shuffle partitions unless told otherwise. All messages pass through Python here;
-    ``points_writer`` cuts each batch down before and is the one for a busy log.
+    There are as many slices as shuffle partitions unless told otherwise. All messages pass through Python here, as Arrow
+    batches; ``points_writer`` cuts each batch down before and is the one for a busy log. State is kept in RocksDB.
     """
     keys = buffer_keys(per_source)
     slices = slices or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -99,8 +108,9 @@ def last_points_stream(messages: DataFrame, n: int = BUFFER, slices: int | None
         F.unix_micros("timestamp").alias("micros"),
         *_STORED.fieldNames()[1:],
     )
-    return points.groupBy(*keys).applyInPandasWithState(
-        _keep_newest(keys, n), buffer_schema(per_source), _STATE, "update", GroupStateTimeout.NoTimeout
+    use_rocksdb(messages.sparkSession)
+    return points.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=Newest(keys, n), outputStructType=buffer_schema(per_source), outputMode="update", timeMode="none"
     )
 
 

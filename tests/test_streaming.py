@@ -10,7 +10,7 @@ from barograph.operators import live, readings, rollup
 from barograph.schema import HOUR_KEY, HOURLY_COLUMNS, MESSAGES
 from barograph.sources import events
 from barograph.sources.messages import read_log, stream_log
-from barograph.streaming import changes, hourly, landing, last_points
+from barograph.streaming import changes, hourly, landing, last_points, late
 from barograph.streaming import live as live_streams
 
 
@@ -55,6 +55,33 @@ def test_messages_too_late_for_the_stream_are_found_and_repaired(spark, folder,
     assert [(r.hour, r.status, r.stored_count, r.fresh_count) for r in repair] == [(1, "changed", 1, 2)]
 
 
+def test_only_hours_with_late_messages_are_computed_anew(spark, folder, log):
+    """Messages for an old hour in two late batches, one of them a reject's alone: each repair does what is due."""
+    first = log(document(1), document(2), start="2024-03-01 01:00:00")
+    now = log(document(3), first=5, start="2024-03-02 10:00:00")
+    for part in (first, now, now.limit(0)):
+        arrive(folder, part)
+
+    def land():
+        changes.run_available(late.log_writer(stream_log(spark, f"{folder}/in", 1), folder, f"{folder}/landing"))
+        return run_hourly(spark, folder)
+
+    land()
+    assert late.repair(spark, folder) == 0
+    arrive(folder, log(document(4), first=6, start="2024-03-01 01:30:00"), log("bad", first=7, start="2024-03-01 05:00:00"))
+    streamed = land()
+    want = batch_hourly(read_log(spark, f"{folder}/in"))
+    assert rows_of(streamed) != rows_of(want)
+    assert late.repair(spark, folder) == 2 and late.repair(spark, folder) == 0
+    table = late.repaired_table(spark, folder, streamed)
+    assert rows_of(table.drop("status")) == rows_of(want)
+    assert {(r["day"], r["hour"]): r["status"] for r in table.collect()} == {(1, 1): "repaired", (2, 10): "streamed"}
+    arrive(folder, log(document(5), first=8, start="2024-03-01 01:40:00"))
+    streamed = land()
+    assert late.repair(spark, folder) == 1
+    assert late.repaired_table(spark, folder, streamed).where("status = 'repaired'").first()["count"] == 4
+
+
 def test_landing_keeps_all_messages_once(spark, folder, log):
     arrive(folder, log(document(1), None, "x"))
     for _ in range(2):
