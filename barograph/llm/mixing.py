@@ -124,12 +124,15 @@ def mix_sizes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents of the mix, repeated as often as it reads them, in training order; columns as they were.
 
-    A document is in a pass if the mix takes at least half of its words there; one without words is left out.
+    A document is in a pass if the mix takes at least half of its words there; one without words is left out. Columns may
+    have any names.
     """
     at = shared_dir(spark, "mix-sizes")
     place(docs.select("doc_id", "source", "text")).drop("text").write.parquet(at)
-    mixed = mix(place(docs), spark.read.parquet(at))
+    # the caller's row goes along as one struct, so that none of its names meets one used here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    mixed = mix(place(docs.select("doc_id", "source", "text", row)).drop("text"), spark.read.parquet(at))
     first = F.when((F.col("taken") > 0) & (2 * F.least(F.col("taken"), F.col("size")) >= F.col("size")), F.col("position"))
     again = F.when(2 * F.col("taken") >= 3 * F.col("size"), F.col("position_again"))
     read = mixed.withColumn("__position", F.explode(F.filter(F.array(first, again), lambda p: p.isNotNull())))
-    return read.orderBy("__position", "doc_id").select(*docs.columns)
+    return read.orderBy("__position", "doc_id").select("__row.*")

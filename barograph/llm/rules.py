@@ -69,8 +69,10 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     ``docs`` already has are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_chars", "base_failed", "kept", "cleaned_text"]
-    docs = docs.drop(*(c for c in made if c != text))
-    body = F.coalesce(F.col(text), F.lit(""))
+    kept = [c for c in docs.columns if c == text or c not in made]
+    # the caller's row goes along as one struct, so that none of its names meets one used here
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
+    body = F.coalesce(F.col("__row").getField(text), F.lit(""))
     trimmed = F.btrim(body, F.lit(BLANKS))
     df = computed_once(
         docs,
@@ -101,4 +103,4 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("lost_chars") <= LOST_SHARE * (F.length(body) - F.col("__n_lines") + 1)))
     cleaned = F.array_join(F.filter(F.split(body, "\n"), lambda x: line_failure(x).isNull()), "\n")
     df = df.withColumn("cleaned_text", F.when(F.col("n_failed_lines") == 0, body).otherwise(cleaned))
-    return df.drop("__n_lines", "__hashes", "__out", "__repeats", "__lost")
+    return df.select(*[F.col(f"__row.`{c}`") for c in kept], *(c for c in made if c not in kept))

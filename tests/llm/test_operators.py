@@ -200,7 +200,8 @@ def test_tokens_are_those_of_the_library(spark, docs, nothing):
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in bpe.decode(encoded, ["text"]).collect())
     sha = lambda x: hashlib.sha256(x).hexdigest()
     want = Counter((d, len(ids := coder.encode_ordinary(t or "")), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())) for d, t, _, _ in given)
-    assert Counter(tuple(r) for r in bpe.digests(docs, ["doc_id", "n_tokens"]).collect()) == want if "n_tokens" in docs.columns else True
+    clashing = docs.withColumn("n_tokens", F.lit("own")).withColumn("ids_sha256", F.lit(1))
+    assert Counter(tuple(r) for r in bpe.digests(clashing, ["doc_id", "n_tokens", "ids_sha256"]).collect()) == want
     assert Counter(tuple(r) for r in bpe.digests(docs, ["doc_id"]).collect()) == want
     assert bpe.digests(nothing, ["doc_id"]).count() == 0
 
@@ -344,10 +345,44 @@ def test_top_k(spark):
 
 
 def test_branch_and_bound_keeps_ties():
-    columns, ids = np.ones((24, 500)), np.arange(500)[::-1].copy()
-    lengths = np.sqrt(np.stack([np.full(500, max(0, 24 - d - topk.STEP)) for d in range(0, 24, topk.STEP)]))
-    at, scores = topk.search(np.ones(24), columns, lengths, ids, 4, -np.inf)
+    ids = np.arange(500)[::-1].copy()
+    block = topk.Block(ids, np.ones((500, 24)))
+    at, scores = topk.search(np.ones(24), block, 4)
     assert ids[at].tolist() == [0, 1, 2, 3] and set(scores) == {24}
+    # a floor that is just reached keeps what reaches it
+    at, scores = topk.search(np.ones(24), block, 4, 24.0)
+    assert ids[at].tolist() == [0, 1, 2, 3]
+
+
+def test_best_over_fifty_blocks():
+    rng = np.random.default_rng(8)
+    rows = np.floor(rng.normal(size=(2500, 21)) * 256)
+    rows[2000:] = rows[:500]
+    ids = rng.permutation(2500)
+    blocks = [topk.Block(ids[i : i + 50], rows[i : i + 50]) for i in range(0, 2500, 50)]
+    for q in range(40):
+        want = sorted(((int(s), int(i)) for s, i in zip(rows @ rows[q], ids, strict=True) if i != ids[q]), key=lambda x: (-x[0], x[1]))[:5]
+        assert topk.best_of(int(ids[q]), rows[q], blocks, 5) == want
+
+
+def test_scores_beyond_doubles_are_exact():
+    big = float(2**40)
+    rows = np.array([[big, 1.0], [big, 3.0], [-big, 5.0], [2.0, 7.0]])
+    blocks = [topk.Block(np.arange(4), rows)]
+    assert topk.best_of(9, np.array([2.0**20 + 1, 1.0]), blocks, 3) == [(2**60 + 2**40 + 3, 1), (2**60 + 2**40 + 1, 0), (2**21 + 9, 3)]
+
+
+def test_queries_of_an_id_with_several_vectors(spark):
+    """The query's own id is no candidate under any of its vectors."""
+    rows = [(50, [1.0, 0.0]), (50, [0.5, 0.0]), (50, [0.25, 0.0]), (1, [0.1, 0.0]), (2, [0.2, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2)
+    assert {r["vec_id"] for r in got.collect()} <= {1, 2} and got.count() == 2
+
+
+def test_candidates_meet_queries_without_a_join(spark):
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(120)], "vec_id long, embedding array<double>")
+    text = topk.top_k(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "hashpartitioning(dims" not in text and "MapInArrow" in text
 
 
 def test_archives(spark):
