@@ -18,7 +18,7 @@ from barograph.sinks.tables import export_csv, overwrite_parquet
 from barograph.sources import events
 from barograph.sources.messages import read_log, stream_log
 from barograph.sources.tables import load_hourly
-from barograph.streaming import changes, devices, hourly, landing, last_points, late
+from barograph.streaming import calibrated, changes, devices, hourly, landing, last_points, late, progress
 from barograph.streaming import live as live_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,6 +376,36 @@ def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(spark.read.schema(live.live_projection(stream).schema).parquet(f"{out}/rows"))
 
 
+def stream_live_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rows of a stream that brings some messages twice, in one batch or in two."""
+    out = shared_dir(spark, "stream_live_once")
+    log = stream_log(spark, events.repeated_log(spark, sf_dir, f"{out}/arrived"), 1)
+    once = live_streams.without_repeats(log, "2 hours")
+    changes.run_available(live_streams.live_writer(once, f"{out}/rows", f"{out}/checkpoint"))
+    return plain(spark.read.schema(live.live_projection(once).schema).parquet(f"{out}/rows"))
+
+
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch took in and gave out: readings and rejects together are the messages."""
+    out = shared_dir(spark, "stream_progress")
+    log = stream_log(spark, events.arrived_log(spark, sf_dir, f"{out}/arrived"), 1)
+    changes.run_available(progress.counted_writer(log, out, f"{out}/checkpoint"))
+    return plain(spark.read.schema(progress.COUNTS).parquet(f"{out}/counts"))
+
+
+def stream_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings calibrated as they arrive; the constants are replaced in the middle, and the new ones hold from then on."""
+    out = shared_dir(spark, "stream_calibrated")
+    constants = events.calibration(events.read_events(spark, sf_dir))
+    first = T.StructType([T.StructField("device_id", T.LongType()), T.StructField("reading_id", T.LongType()), T.StructField("burst", T.BinaryType())])
+    for parts, shift in ((range(2), 0), (range(2, events.ARRIVALS), 10)):
+        overwrite_parquet(constants.withColumn("dig_T1", F.col("dig_T1") + shift), f"{out}/constants")
+        events.arrived_bursts(spark, sf_dir, f"{out}/arrived", parts)
+        bursts = spark.readStream.schema(first).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrived")
+        changes.run_available(calibrated.calibrated_writer(bursts, f"{out}/constants", f"{out}/rows", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
 def nmea_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gps.sentence_quality(_gps(spark, sf_dir))
 
@@ -448,7 +478,7 @@ QUERIES: dict[str, Query] = {
         filter_composed, date_cutoff, live_projection, last_30_points, last_30_per_source, latest_reading, latest_source,
         humidity_band, memory_split, size_texts, source_freshness, topic_profile, cadence_gaps, top_sources, mart_match,
         mart_diff, mart_upsert, stream_hourly, late_hours_lost, late_hours_repaired, stream_last_30, stream_last_30_per_source, stream_buffer, stream_landing, stream_live,
-        device_status_changes,
+        stream_live_once, stream_progress, stream_calibrated, device_status_changes,
         nmea_quality, nmea_fixes, nmea_chunks, nmea_chunk_fixes, nmea_track, nmea_receiver, nmea_satellites, calibrated_readings, calibrated_datasheet,
         calibrate_roundtrip, calibration_unpacked, hourly_job_marts, hourly_incremental, offset_ledger, missing_offsets, hourly_stored, sources_exported, datetimes_coerced,
     )

@@ -310,9 +310,10 @@ _CHUNKS = (
 _CHUNK_FIXES = _FIXES.replace("n % 50 > 1 AS clean", "n % 50 > 1 AND n % 31 <> 17 AS clean")
 
 
-def _calibrated(preshift: bool, select: str) -> str:
-    """Compensation in whole numbers of any size; every division rounds down."""
+def _calibrated(preshift: bool, select: str, later: str = "") -> str:
+    """Compensation in whole numbers of any size; every division rounds down. ``later`` is added to the first constant."""
     d = {n: str(v) for n, v in TYPICAL.items()}
+    d["dig_T1"] += later
     d["dig_T1"] += " + u % 100"
     d["dig_P1"] += " + u % 50"
     constants = ", ".join(f"CAST({v} AS HUGEINT) AS {n[4:]}" for n, v in d.items())
@@ -529,3 +530,15 @@ UNION ALL
 SELECT ip, 'OFFLINE', ts + INTERVAL 6 HOUR FROM g, x WHERE epoch_us(after) - epoch_us(ts) > 21600000000
   OR (after IS NULL AND (epoch_us(ts) + 21600000000) // 1000 + 1 <= mark)"""
 )
+ORACLE["stream_live_once"] = ORACLE["live_projection"]
+ORACLE["stream_progress"] = (
+    "WITH "
+    + _READ
+    + """x AS (SELECT *, CASE WHEN n % 10 = 3 THEN 4 ELSE n * 4 // ((SELECT max(n) FROM m) + 1) END AS batch,
+  n > 2 AND n % 97 <> 13 AND n % 89 <> 7 AS good FROM m)
+SELECT CAST(batch AS BIGINT) AS batch, count(*) AS messages, count(*) FILTER (good) AS readings, count(*) FILTER (NOT good) AS rejects,
+  min(ts) AS first_time, max(ts) AS last_time FROM x GROUP BY batch"""
+)
+ORACLE["stream_calibrated"] = _calibrated(
+    True, "SELECT *, {texts} FROM o", " + CASE WHEN n * 4 // ((SELECT max(event_id) FROM events) + 1) >= 2 THEN 10 ELSE 0 END"
+)

@@ -107,6 +107,32 @@ def arrived_log(spark: SparkSession, sf_dir: str, path: str, late_ones: bool = T
     return path
 
 
+def repeated_log(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The log as files in the order of arrival, where each but the first begins with repeats: every seventh message of
+    the last hour of the file before it, and one of its own twice."""
+    log, at = messages(spark, sf_dir), F.col("offset")
+    size = log.agg(F.max("offset")).scalar() + 1
+    log = log.withColumn("part", F.floor(at * ARRIVALS / size))
+    ends = log.groupBy("part").agg(F.max("timestamp").alias("end"), F.max("offset").alias("last"))
+    log = log.join(ends, "part")
+    for i in range(ARRIVALS):
+        again = log.where((F.col("part") == i - 1) & (at % 7 == 0) & (F.col("timestamp") > F.col("end") - F.expr("INTERVAL 1 HOUR")))
+        own = log.where(F.col("part") == i)
+        rows = own.unionByName(own.where(at == F.col("last"))).unionByName(again)
+        rows.select(*MESSAGES.fieldNames()).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def arrived_bursts(spark: SparkSession, sf_dir: str, path: str, parts: range) -> str:
+    """Stretches ``parts`` of ``ARRIVALS`` of the raw registers, a file each, added to ``path``."""
+    rows = read_events(spark, sf_dir)
+    size = rows.agg(F.max("event_id")).scalar() + 1
+    for i in parts:
+        part = raw_registers(rows.where(F.floor(F.col("event_id") * ARRIVALS / size) == i))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def gps_lines(events: DataFrame) -> DataFrame:
     """Each event as one GPS sentence of the device ``user_id``; kind by ``event_id % 6``.
 

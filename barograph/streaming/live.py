@@ -10,6 +10,14 @@ from barograph.operators.live import event_lines, live_projection
 PACE = "1 second"
 
 
+def without_repeats(messages: DataFrame, within: str = "1 hour") -> DataFrame:
+    """Each message once, by its place in the topic, if its repeats come ``within`` that time of event time.
+
+    The places of that time are the state. A message that comes later than that is dropped here; the landed log has it.
+    """
+    return messages.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["topic", "partition", "offset"])
+
+
 def live_writer(messages: DataFrame, path: str, checkpoint: str, form: str = "parquet") -> DataStreamWriter:
     """Stateless: each message becomes one flat row as it arrives."""
     rows = live_projection(messages)
