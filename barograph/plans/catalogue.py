@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barograph.functions.values import naive, size_text, strip_unit
-from barograph.operators import calibration, dashboard, filters, gps, live, monitor, offsets, profile, readings, rollup, upkeep
+from barograph.operators import calibration, dashboard, filters, gps, live, monitor, offsets, profile, readings, rollup, sketches, upkeep
 from barograph.plans import hourly_job
 from barograph.plans.hourly_job import build_marts
 from barograph.schema import HOUR_KEY, HOURLY_COLUMNS, HOURLY_TABLE
@@ -18,7 +18,7 @@ from barograph.sinks.tables import export_csv, overwrite_parquet
 from barograph.sources import events
 from barograph.sources.messages import read_log, stream_log
 from barograph.sources.tables import load_hourly
-from barograph.streaming import calibrated, changes, devices, hourly, landing, last_points, late, progress
+from barograph.streaming import calibrated, changes, devices, hourly, landing, last_points, late, progress, receiver
 from barograph.streaming import live as live_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +184,25 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.column_profile(_hourly(spark, sf_dir), PROFILED)
 
 
+def sketch_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile from merged daily sketches: what is exact, and whether its estimates are as near as is stated."""
+    columns = ["id", "bme280_temperature"]
+    rows = _readings(spark, sf_dir, ["read_date", *columns])
+    merged = sketches.merged_profile(_landed(spark, sketches.daily_sketches(rows, F.col("read_date"), columns), "sketches"))
+    merged = _landed(spark, merged, "sketch_profile")
+    values = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value").where("value is not null")
+    counts = values.join(merged, "column").groupBy("column").agg(
+        F.count_distinct("value").alias("different"),
+        *[(F.count_if(F.col("value") < F.col(q)) / F.count("*")).alias(f"below_{q}") for q in ("q25", "q50", "q75")],
+        *[(F.count_if(F.col("value") <= F.col(q)) / F.count("*")).alias(f"upto_{q}") for q in ("q25", "q50", "q75")],
+    )
+    # four standard errors of the sketch of different values; the stated error in rank
+    distinct_close = F.abs(F.col("n_distinct") / F.col("different") - 1) < 0.0325
+    near = [(F.col(f"below_q{p}") <= p / 100 + 0.01) & (F.col(f"upto_q{p}") >= p / 100 - 0.01) for p in (25, 50, 75)]
+    both = merged.join(counts, "column")
+    return both.select("column", "rows", "n_null", "low", "high", distinct_close.alias("distinct_close"), (near[0] & near[1] & near[2]).alias("quartiles_close"))
+
+
 def filter_isin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(filters.apply_filters(_hourly(spark, sf_dir), [filters.OneOf("hour", [0, 6, 12, 18, None])]))
 
@@ -433,10 +452,23 @@ def nmea_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gps.track(_gps(spark, sf_dir), hour_offset=5)
 
 
+RECEIVER_COLUMNS = ["altitude", "geoid_height", "satellites_in_use", "hdop", "pdop", "vdop", "fix_stat", "fix_type"]
+RECEIVER_COLUMNS += ["satellites_used", "satellites_in_view", "sv_sentences", "sv_sentence"]
+
+
 def nmea_receiver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["altitude", "geoid_height", "satellites_in_use", "hdop", "pdop", "vdop", "fix_stat", "fix_type"]
-    columns += ["satellites_used", "satellites_in_view", "sv_sentences", "sv_sentence"]
-    state = gps.receiver_state(_gps(spark, sf_dir).drop("ts"), columns=columns)
+    state = gps.receiver_state(_gps(spark, sf_dir).drop("ts"), columns=RECEIVER_COLUMNS)
+    return state.withColumn("satellites_used", F.array_join("satellites_used", " "))
+
+
+def nmea_receiver_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream over several files, in which every seventh sentence comes a file late."""
+    out = shared_dir(spark, "nmea_receiver_stream")
+    lines = _gps(spark, sf_dir).drop("ts")
+    step = events.arrived_lines(lines, f"{out}/arrived")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrived")
+    changes.run_available(receiver.receiver_writer(stream, f"{out}/tables", f"{out}/checkpoint", 2 * step, columns=RECEIVER_COLUMNS))
+    state = receiver.written_states(lines, f"{out}/tables", RECEIVER_COLUMNS, to_the_end=True)
     return state.withColumn("satellites_used", F.array_join("satellites_used", " "))
 
 
@@ -474,12 +506,12 @@ QUERIES: dict[str, Query] = {
     for f in (
         hourly_rollup, hourly_merged, messages_by_source, parsed_readings, reject_report, payload_version_counts,
         device_clock_skew, hour_headline, hour_delta_series, source_share, heatmap_date_hour, heatmap_matrix,
-        heatmap_weekday_hour, metric_long, column_profile, filter_isin, filter_range, filter_dates, filter_regex,
+        heatmap_weekday_hour, metric_long, column_profile, sketch_profile, filter_isin, filter_range, filter_dates, filter_regex,
         filter_composed, date_cutoff, live_projection, last_30_points, last_30_per_source, latest_reading, latest_source,
         humidity_band, memory_split, size_texts, source_freshness, topic_profile, cadence_gaps, top_sources, mart_match,
         mart_diff, mart_upsert, stream_hourly, late_hours_lost, late_hours_repaired, stream_last_30, stream_last_30_per_source, stream_buffer, stream_landing, stream_live,
         stream_live_once, stream_progress, stream_calibrated, device_status_changes,
-        nmea_quality, nmea_fixes, nmea_chunks, nmea_chunk_fixes, nmea_track, nmea_receiver, nmea_satellites, calibrated_readings, calibrated_datasheet,
+        nmea_quality, nmea_fixes, nmea_chunks, nmea_chunk_fixes, nmea_track, nmea_receiver, nmea_receiver_stream, nmea_satellites, calibrated_readings, calibrated_datasheet,
         calibrate_roundtrip, calibration_unpacked, hourly_job_marts, hourly_incremental, offset_ledger, missing_offsets, hourly_stored, sources_exported, datetimes_coerced,
     )
 }

@@ -403,6 +403,11 @@ FROM r GROUP BY ip""",
     "metric_long": _HOURLY + " " + _unpivot(_LINES),
     "column_profile": _HOURLY
     + _profile({"date": "date"} | {c: "number" for c in ("year", "month", "day", "hour", "count", "avg_bme_temp", "max_bme_hum", "min_bme_press")}),
+    "sketch_profile": "WITH "
+    + _READ
+    + "v AS (SELECT 'id' AS \"column\", CAST(n AS DOUBLE) AS value FROM r UNION ALL SELECT 'bme280_temperature', c / 100.0 FROM r) "
+    + "SELECT \"column\", count(*) AS rows, count(*) - count(value) AS n_null, min(value) AS low, max(value) AS high, "
+    + "true AS distinct_close, true AS quartiles_close FROM v GROUP BY 1",
     "filter_isin": _HOURLY + " SELECT * FROM hourly WHERE hour IN (0, 6, 12, 18)",
     "filter_range": _HOURLY + " SELECT * FROM hourly WHERE avg_bme_temp BETWEEN 40 AND 60",
     "filter_dates": _HOURLY + " SELECT * FROM hourly WHERE datetime BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'",
@@ -467,6 +472,7 @@ FROM z WHERE epoch_us(ts) - epoch_us(prev) > 3600000000""",
     "nmea_chunk_fixes": _CHUNK_FIXES,
     "nmea_track": _TRACK,
     "nmea_receiver": _RECEIVER,
+    "nmea_receiver_stream": _RECEIVER,
     "nmea_satellites": _SATELLITES,
     "calibrated_readings": _calibrated(True, "SELECT *, {texts} FROM o"),
     "calibrated_datasheet": _calibrated(False, "SELECT *, {texts} FROM o"),

@@ -107,6 +107,16 @@ def arrived_log(spark: SparkSession, sf_dir: str, path: str, late_ones: bool = T
     return path
 
 
+def arrived_lines(lines: DataFrame, path: str) -> int:
+    """GPS lines as files in the order of arrival, written to ``path``: stretches of sequence numbers, but every seventh line
+    comes with the stretch after its own. Returns the length of a stretch."""
+    step = (lines.agg(F.max("seq")).first()[0] or 0) // ARRIVALS + 1
+    at = F.expr(f"seq div {step}") + F.when(F.col("seq") % 7 == 3, 1).otherwise(0)
+    for i in range(ARRIVALS + 1):
+        lines.where(at == i).coalesce(1).write.mode("append").parquet(path)
+    return step
+
+
 def repeated_log(spark: SparkSession, sf_dir: str, path: str) -> str:
     """The log as files in the order of arrival, where each but the first begins with repeats: every seventh message of
     the last hour of the file before it, and one of its own twice."""
