@@ -395,6 +395,14 @@ def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(spark.read.schema(live.live_projection(stream).schema).parquet(f"{out}/rows"))
 
 
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text lines of the live page, written by a stream over a log of several files that come out of order."""
+    out = shared_dir(spark, "stream_lines")
+    log = stream_log(spark, events.arrived_log(spark, sf_dir, f"{out}/arrived"), 1)
+    changes.run_available(live_streams.line_writer(log, f"{out}/rows", f"{out}/checkpoint"))
+    return plain(spark.read.schema(live.event_lines(live.live_projection(log)).schema).parquet(f"{out}/rows"))
+
+
 def stream_live_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live rows of a stream that brings some messages twice, in one batch or in two."""
     out = shared_dir(spark, "stream_live_once")
@@ -510,7 +518,7 @@ QUERIES: dict[str, Query] = {
         filter_composed, date_cutoff, live_projection, last_30_points, last_30_per_source, latest_reading, latest_source,
         humidity_band, memory_split, size_texts, source_freshness, topic_profile, cadence_gaps, top_sources, mart_match,
         mart_diff, mart_upsert, stream_hourly, late_hours_lost, late_hours_repaired, stream_last_30, stream_last_30_per_source, stream_buffer, stream_landing, stream_live,
-        stream_live_once, stream_progress, stream_calibrated, device_status_changes,
+        stream_lines, stream_live_once, stream_progress, stream_calibrated, device_status_changes,
         nmea_quality, nmea_fixes, nmea_chunks, nmea_chunk_fixes, nmea_track, nmea_receiver, nmea_receiver_stream, nmea_satellites, calibrated_readings, calibrated_datasheet,
         calibrate_roundtrip, calibration_unpacked, hourly_job_marts, hourly_incremental, offset_ledger, missing_offsets, hourly_stored, sources_exported, datetimes_coerced,
     )

@@ -420,6 +420,16 @@ FROM r GROUP BY ip""",
     + " SELECT n AS kafka_offset, CAST(n AS INTEGER) AS id, ts AS read_datetime, CAST(ts AS DATE) AS read_date,"
     + " c / 100.0 AS bme280_temperature, ip AS picow_local_ip FROM r WHERE ts < TIMESTAMP '2024-01-14'",
     "live_projection": _LIVE + " SELECT * FROM live",
+    "stream_lines": _LIVE
+    + """ SELECT "timestamp", "partition", "offset", 'data:{"time":"' || time || '",' || """
+    + " || ',' || ".join(
+        f"""'"{c}":' || coalesce(CAST({c} AS VARCHAR), 'null')"""
+        for c in (
+            *("bme_280_temperature", "bme_280_humidity", "bme_280_pressure", "picow_temperature", "picow_mem_alloc_bytes"),
+            *("picow_mem_free_bytes", "picow_free_storage_kb", "picow_free_cpu_freq_mhz"),
+        )
+    )
+    + """ || ',"picow_local_ip":' || coalesce('"' || picow_local_ip || '"', 'null') || '}' || chr(10) || chr(10) AS line FROM live""",
     "last_30_points": _ALL_POINTS.format(live=_LIVE, part=""),
     "last_30_per_source": _ALL_POINTS.format(live=_LIVE, part=_PER_SOURCE),
     "latest_reading": _LATEST + " SELECT * FROM newest",
