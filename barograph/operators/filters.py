@@ -2,22 +2,34 @@
 
 ``apply_filters`` takes predicates whose kind is stated. ``filter_by_choice`` decides the kind from the
 data, as the dashboard did: on the rows that the filters before it left, a column with fewer than ten
-values is a category, else a number, a date or a text by its type. That decision runs a small job per filter.
+values is a category, else a number, a date or a text by its type.
+
+All kinds are decided in one pass. Which rows reach a filter depends on the kinds of those before it, so each
+task follows both kinds of every filter at once: the ways through them are numbered as nodes of a binary tree
+(root 1; below node p, 2p if p's filter is a category, else 2p + 1), and a node holds at most ten values. A node
+that has met ten is no category, and nothing below 2p is followed any longer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
+from itertools import islice
 from operator import and_
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CATEGORY_LIMIT = 10
+#: Filters whose kinds are decided in one pass; it follows at most 2 ** BLOCK - 1 nodes. More filters take a pass per block.
+BLOCK = 8
 
 
 @dataclass(frozen=True)
@@ -102,21 +114,29 @@ class Choice:
     end_of_day: bool = field(default=False)
 
 
-def column_kind(df: DataFrame, column: str, limit: int = CATEGORY_LIMIT) -> str:
-    """``category``, ``number``, ``date`` or ``text``. Runs a job that returns a single number."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit).count()
-    if values < limit:
-        return "category"
-    kind = df.schema[column].dataType
+def _kind_of_type(kind: T.DataType) -> str:
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return "number"
     return "date" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "text"
 
 
-def _resolve(df: DataFrame, choice: Choice) -> Column:
-    c, kind = F.col(choice.column), column_kind(df, choice.column)
-    if kind == "category":
-        return F.lit(True) if choice.values is None else OneOf(choice.column, choice.values).predicate()
+def column_kind(df: DataFrame, column: str, limit: int = CATEGORY_LIMIT) -> str:
+    """``category``, ``number``, ``date`` or ``text``. Runs a job that returns a single number."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit).count()
+    return "category" if values < limit else _kind_of_type(df.schema[column].dataType)
+
+
+def _as_category(choice: Choice) -> Column:
+    return F.lit(True) if choice.values is None else OneOf(choice.column, choice.values).predicate()
+
+
+def _untouched_dates(df: DataFrame, choice: Choice) -> bool:
+    """Whether the filter, if it is one of dates, depends on the first and the last day of the rows that reach it."""
+    return choice.dates is None and _kind_of_type(df.schema[choice.column].dataType) == "date"
+
+
+def _as_typed(df: DataFrame, choice: Choice, ends: tuple[date, date] | None = None) -> Column:
+    c, kind = F.col(choice.column), _kind_of_type(df.schema[choice.column].dataType)
     if kind == "number":
         low = c if choice.low is None else F.lit(choice.low)
         high = c if choice.high is None else F.lit(choice.high)
@@ -124,16 +144,93 @@ def _resolve(df: DataFrame, choice: Choice) -> Column:
     if kind == "date":
         if choice.dates is None:
             # the widget starts at the first and the last day in the data, each taken at midnight
-            ends = [df.agg(f(F.to_date(c))).scalar().cast("timestamp_ntz") for f in (F.min, F.max)]
-            return c.cast("timestamp_ntz").between(*ends)
+            return DateBetween(choice.column, *ends).predicate() if ends else F.lit(True)
         if len(choice.dates) != 2:
             return F.lit(True)
         return DateBetween(choice.column, *choice.dates, end_of_day=choice.end_of_day).predicate()
     return Matches(choice.column, choice.pattern).predicate()
 
 
-def filter_by_choice(df: DataFrame, choices: list[Choice]) -> DataFrame:
-    return reduce(lambda rows, choice: rows.where(_resolve(rows, choice)), choices, df)
+def _value_text(df: DataFrame, column: str) -> Column:
+    """A text that is the same for equal values and differs for others."""
+    c, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    # adding zero makes the two zeros one
+    return (c + F.lit(0.0) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else c).cast("string")
+
+
+def _values_met(n: int, limit: int, days: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each node at most ``limit`` of the values that a task met there, and the first and the last day if they are asked for."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
+        ends: dict[int, tuple[date, date]] = {}
+        for batch in batches:
+            reached = {1: np.ones(batch.num_rows, bool)}
+            for i in range(n):
+                category, typed = (batch.column(f"{k}{i}").to_numpy(zero_copy_only=False) for k in ("category", "typed"))
+                below: dict[int, np.ndarray] = {}
+                for node, rows in reached.items():
+                    if not rows.any():
+                        continue
+                    found = seen.setdefault(node, set())
+                    if len(found) < limit:
+                        new = pc.unique(batch.column(f"value{i}").filter(pa.array(rows)).drop_null()).to_pylist()
+                        found.update(islice((v for v in new if v not in found), limit - len(found)))
+                    if days and i == n - 1:
+                        both = pc.min_max(batch.column("day").filter(pa.array(rows))).as_py()
+                        if both["min"] is not None:
+                            old = ends.get(node, (both["min"], both["max"]))
+                            ends[node] = min(old[0], both["min"]), max(old[1], both["max"])
+                    if len(found) < limit:
+                        below[2 * node] = rows & category
+                    below[2 * node + 1] = rows & typed
+                reached = below
+        rows = [(node, v, None, None) for node, found in seen.items() for v in found] + [(node, None, *e) for node, e in ends.items()]
+        if rows:
+            types = {"node": pa.int32(), "value": pa.string(), "first": pa.date32(), "last": pa.date32()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
+
+    return met
+
+
+def _decided(df: DataFrame, choices: list[Choice], limit: int) -> list[Column]:
+    """The predicates of these filters. One pass, from which at most ``limit`` values of a node leave a task and a row
+    of each node comes to the driver. Only the last filter may depend on the days of its rows."""
+    last, days = choices[-1].column, _untouched_dates(df, choices[-1])
+    columns = [F.to_date(F.col(last)).alias("day")] if days else []
+    for i, choice in enumerate(choices):
+        columns.append(_value_text(df, choice.column).alias(f"value{i}"))
+        for name, predicate in (("category", _as_category(choice)), ("typed", _as_typed(df, choice))):
+            columns.append(F.coalesce(predicate, F.lit(False)).alias(f"{name}{i}"))
+    met = df.select(*columns).mapInArrow(_values_met(len(choices), limit, days), "node int, value string, first date, last date")
+    counted = met.groupBy("node").agg(F.count_distinct("value").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    nodes, node, out = {r["node"]: r for r in counted.collect()}, 1, []
+    for choice in choices:
+        row = nodes.get(node)
+        if row is None or row["n"] < limit:
+            out.append(_as_category(choice))
+            node = 2 * node
+        else:
+            out.append(_as_typed(df, choice, (row["first"], row["last"])))
+            node = 2 * node + 1
+    return out
+
+
+def filter_by_choice(df: DataFrame, choices: list[Choice], limit: int = CATEGORY_LIMIT, block: int = BLOCK) -> DataFrame:
+    """The rows that all filters leave, each of the kind that the rows before it make it.
+
+    The kinds take one pass over the chosen columns; one more after every ``block`` filters, and after a filter of
+    dates that was left untouched, as what follows depends on the days found. An empty frame makes all filters categories.
+    """
+    while choices:
+        cut = next((i + 1 for i, c in enumerate(choices[:block]) if _untouched_dates(df, c)), block)
+        df = reduce(DataFrame.where, _decided(df, choices[:cut], limit), df)
+        choices = choices[cut:]
+    return df
 
 
 def coerce_datetimes(df: DataFrame, formats: list[str] | None = None) -> DataFrame:

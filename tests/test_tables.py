@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -126,6 +127,59 @@ def test_untouched_widgets(people):
     assert len(ids(filters.filter_by_choice(people, [filters.Choice("at", dates=("2024-01-01",))]))) == 40
 
 
+def one_by_one(df, choices):
+    """Each kind decided on the rows really left, a job for each."""
+    for c in choices:
+        kind = filters.column_kind(df, c.column)
+        if kind == "category":
+            df = df if c.values is None else filters.apply_filters(df, [filters.OneOf(c.column, c.values)])
+        elif kind == "number":
+            df = df.where(F.col(c.column).between(-1e9 if c.low is None else c.low, 1e9 if c.high is None else c.high))
+        elif kind == "date" and c.dates is None:
+            first, last = df.agg(F.min(F.to_date(c.column)), F.max(F.to_date(c.column))).first()
+            df = filters.apply_filters(df, [filters.DateBetween(c.column, first, last)])
+        elif kind == "date":
+            df = filters.apply_filters(df, [filters.DateBetween(c.column, *c.dates)])
+        else:
+            df = filters.apply_filters(df, [filters.Matches(c.column, c.pattern)])
+    return df
+
+
+def test_kinds_in_one_pass_are_those_of_one_filter_after_another(people):
+    rng = random.Random(5)
+    make = {
+        "x": lambda: filters.Choice("x", values=rng.choice([None, [0.5, 1.0, 7.5, None]]), low=rng.choice([None, 1.0, 6.0]), high=rng.choice([None, 9.0, 15.0])),
+        "name": lambda: filters.Choice("name", values=rng.choice([None, ["n1", "n3", "n5", None]]), pattern=rng.choice(["", "1", "[2-9]$"])),
+        "at": lambda: filters.Choice("at", dates=rng.choice([None, None, ("2024-01-02", "2024-01-12")])),
+        "i": lambda: filters.Choice("i", low=rng.choice([None, 2, 15]), high=rng.choice([None, 33])),
+    }
+    kept = set()
+    for _ in range(12):
+        choices = [make[c]() for c in rng.choices(list(make), k=rng.randint(1, 5))]
+        expected = ids(one_by_one(people, choices))
+        kept.add(len(expected))
+        assert ids(filters.filter_by_choice(people, choices)) == expected, choices
+        assert ids(filters.filter_by_choice(people, choices, block=2)) == expected, choices
+    assert len(kept) > 4
+
+
+def test_number_of_passes(people, monkeypatch):
+    passes, decided = [], filters._decided
+    monkeypatch.setattr(filters, "_decided", lambda df, choices, limit: passes.append(len(choices)) or decided(df, choices, limit))
+    filters.filter_by_choice(people, [filters.Choice("x", low=1.0), filters.Choice("name"), filters.Choice("at")])
+    filters.filter_by_choice(people, [filters.Choice("at"), filters.Choice("x")])
+    assert passes == [3, 1, 1]
+    assert filters.filter_by_choice(people, []) is people
+
+
+def test_zeros_are_one_value_and_empty_tables_have_categories(spark):
+    zeros = spark.createDataFrame([(float(i),) for i in range(9)] + [(-0.0,), (None,)], "x double")
+    assert filters.filter_by_choice(zeros, [filters.Choice("x", low=5.0)]).count() == 11
+    more = zeros.unionByName(spark.createDataFrame([(float("nan"),)], "x double"))
+    assert filters.filter_by_choice(more, [filters.Choice("x", low=5.0, high=8.0)]).count() == 4
+    assert filters.filter_by_choice(more.where("x > 1e9 and x < 0"), [filters.Choice("x", low=5.0)]).count() == 0
+
+
 def test_coerce_datetimes(spark):
     df = spark.sql(
         "SELECT * FROM VALUES ('2024-01-02', '2024-01-02', 'x', timestamp'2024-01-01 00:00:00'), (NULL, 'no', 'y', NULL) AS t(a, b, c, d)"
