@@ -21,7 +21,7 @@ from barograph.llm.textbatch import slices, with_text
 #: Characters in an n-gram; n-grams are hashed to 2^BITS features.
 SIZES, BITS = (3, 4, 5, 6), 20
 #: Documents of either label that are learnt from, and the features kept.
-PER_CLASS, FEATURES = 4000, 12_000
+PER_CLASS, FEATURES = 4000, 20_000
 #: A feature is in at least so many documents of the sample.
 LEAST_DOCUMENTS = 4
 SMOOTHING, PENALTY, ROUNDS = 1.0, 1e-4, 300
