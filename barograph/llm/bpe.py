@@ -8,7 +8,6 @@ comes from a public vocabulary file, some 50,000 entries, and goes to tasks as a
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -18,6 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barograph.llm.textbatch import slices, with_text
@@ -219,28 +219,6 @@ def _decoded(ranks, columns: list[str]):
     return decoded
 
 
-def _digests(ranks, text: str, columns: list[str]):
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value)
-        sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch, _, _ in slices(batches, text, SLICE):
-            ids, ends = codec.encode([t or "" for t in batch.column(text).to_pylist()])
-            raw, at = codec.decode(ids, ends)
-            listed, places = codec.decimals(ids, ends)
-            raw, listed, at, places = memoryview(raw), memoryview(listed), at.tolist(), places.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in columns),
-                    pa.array(np.diff(ends), pa.int64()),
-                    pa.array([sha(listed[a : max(a, b - 1)]) for a, b in zip(places, places[1:], strict=False)]),
-                    pa.array([sha(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]),
-                ],
-                names=[*columns, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return digests
-
-
 def _ranks(spark: SparkSession, vocabulary: str):
     return spark.sparkContext.broadcast(read_ranks(vocabulary))
 
@@ -253,17 +231,27 @@ def encode(docs: DataFrame, columns: list[str], vocabulary: str = VOCABULARY) ->
 
 def decode(encoded: DataFrame, columns: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """``columns`` of ``encoded`` and ``decoded``, the bytes that ``tokens`` stand for: empty where it is null."""
-    kept = [c for c in columns if c not in ("tokens", "decoded")]
+    kept = [c for c in columns if c != "decoded"]
     schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())])
-    return encoded.select(*kept, "tokens").mapInArrow(_decoded(_ranks(encoded.sparkSession, vocabulary), kept), schema)
+    return encoded.select(*kept, *([] if "tokens" in kept else ["tokens"])).mapInArrow(_decoded(_ranks(encoded.sparkSession, vocabulary), kept), schema)
 
 
-def digests(docs: DataFrame, columns: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """``columns`` of ``docs``, the number of tokens, the SHA-256 of the ids and of the bytes they decode to.
+def round_trip(docs: DataFrame, columns: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
+    """``columns`` of ``docs``, the tokens of ``text``, their number, and the SHA-256 of the ids and of the bytes that
+    they decode to.
 
     Null texts are empty: no tokens, both digests those of nothing. Repeated rows give repeated rows; columns named
-    like the three results are replaced.
+    like the four results are replaced.
     """
-    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    df, text, kept, schema = with_text(docs, columns, made)
-    return df.mapInArrow(_digests(_ranks(docs.sparkSession, vocabulary), text, kept), schema)
+    kept = [c for c in columns if c not in ("tokens", "n_tokens", "ids_sha256", "decoded_sha256")]
+    # the caller's row goes along as one struct, so that none of its names meets one used here
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row")
+    back = decode(encode(docs.select(row, "text"), ["__row"], vocabulary), ["__row", "tokens"], vocabulary)
+    listed = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return back.select(
+        *[F.col(f"__row.`{c}`") for c in kept],
+        "tokens",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -38,7 +38,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document encoded to token ids and decoded again."""
-    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).drop("tokens")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
