@@ -200,10 +200,14 @@ def test_tokens_are_those_of_the_library(spark, docs, nothing):
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in bpe.decode(encoded, ["text"]).collect())
     sha = lambda x: hashlib.sha256(x).hexdigest()
     want = Counter((d, len(ids := coder.encode_ordinary(t or "")), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())) for d, t, _, _ in given)
-    clashing = docs.withColumn("n_tokens", F.lit("own")).withColumn("ids_sha256", F.lit(1))
-    assert Counter(tuple(r) for r in bpe.digests(clashing, ["doc_id", "n_tokens", "ids_sha256"]).collect()) == want
-    assert Counter(tuple(r) for r in bpe.digests(docs, ["doc_id"]).collect()) == want
-    assert bpe.digests(nothing, ["doc_id"]).count() == 0
+    clashing = docs.withColumn("n_tokens", F.lit("own")).withColumn("ids_sha256", F.lit(1)).withColumn("decoded", F.lit("own")).withColumn("__row", F.lit(7))
+    result = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = bpe.round_trip(clashing, ["doc_id", "n_tokens", "ids_sha256", "decoded", "__row"])
+    assert got.columns == ["doc_id", "decoded", "__row", "tokens", *result[1:]] and got.select("decoded", "__row").distinct().collect() == [("own", 7)]
+    assert Counter(tuple(r) for r in got.select(*result).collect()) == want
+    assert all(r["tokens"] == coder.encode_ordinary(r["text"] or "") for r in bpe.round_trip(docs, ["text"]).collect())
+    assert Counter(tuple(r) for r in bpe.round_trip(docs, ["doc_id"]).select(*result).collect()) == want
+    assert bpe.round_trip(nothing, ["doc_id"]).count() == 0
 
 
 def test_odd_characters_are_parted_as_in_the_library():
@@ -437,6 +441,51 @@ def test_classifiers(spark, docs, nothing, op, mark):
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % by == (2 if by == 4 else 0)) for r in odd)
 
 
+def plain_grams(text) -> set[int]:
+    """The hashed n-grams of a text, one by one."""
+    small = [c.lower() if len(c.lower()) == 1 and ord(c.lower()) < 1 << 16 else c for c in text or ""]
+    chars = [32, *(32 if c.isspace() else ord(c) for c in small), 32]
+    out = set()
+    for n in toxicity.SIZES:
+        for i in range(len(chars) - n + 1):
+            h = n
+            for c in chars[i : i + n]:
+                h = ((h * 0x01000193 & 0xFFFFFFFF) ^ c) * 0x85EBCA6B & 0xFFFFFFFF
+            out.add(((h ^ h >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - toxicity.BITS)
+    return out
+
+
+@pytest.mark.parametrize("features", [40, 100_000])
+def test_toxicity_beside_a_plain_version(spark, features):
+    """Ratios, the features kept, the optimum of the regression and the scores, from sets of n-grams."""
+    texts, labels = labelled_documents(spark)
+    sampled = labelled.sample(spark, texts, labels, "toxic", F.lit(True), 60)
+    model = toxicity.fit(sampled, features)
+    rows = [(plain_grams(r["text"]), r["label"]) for r in sampled.collect()]
+    toxic = sum(y for _, y in rows)
+    counts = {y: Counter(g for x, z in rows if z == y for g in x) for y in (0, 1)}
+    ratio = {g: math.log((counts[1][g] + 1) / (toxic + 2) / ((counts[0][g] + 1) / (len(rows) - toxic + 2))) for g in {*counts[0], *counts[1]} if counts[0][g] + counts[1][g] >= toxicity.LEAST_DOCUMENTS}
+    worth = lambda g: (-round(abs(ratio[g]) / math.sqrt(1 / (counts[1][g] + 1) + 1 / (counts[0][g] + 1)), 9), g)
+    kept = sorted(sorted(ratio, key=worth)[:features])
+    assert model.feature.tolist() == kept and len(kept) == min(features, len(ratio))
+    weight = dict(zip(kept, model.weight, strict=True))
+    odds = np.array([model.bias + sum(weight.get(g, 0.0) for g in x) for x, _ in rows])
+    y = np.array([y for _, y in rows])
+    # at the optimum no weight can be moved to lessen the loss, up to the rounds that are made
+    weigh = np.where(y == 1, 0.5 / toxic, 0.5 / (len(y) - toxic))
+    slope = weigh * (1 / (1 + np.exp(-odds)) - y)
+    start = weigh * (0.5 - y)
+    of = lambda s: np.array([ratio[g] * sum(v for v, (x, _) in zip(s, rows, strict=True) if g in x) for g in kept])
+    left = of(slope) + toxicity.PENALTY * np.array([model.weight[i] / ratio[g] if ratio[g] else 0.0 for i, g in enumerate(kept)])
+    assert np.abs(left).max() < 0.05 * np.abs(of(start)).max() and abs(slope.sum()) < 0.02
+    more = [*[t for _, t in [(0, None), (1, ""), (2, "VEXGUK \U0001F600 x")]], *[r["text"] for r in texts.limit(20).collect()]]
+    given = spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(given, model, ["doc_id"]).collect()}
+    for i, t in enumerate(more):
+        if "\U0001F600" not in (t or ""):
+            assert math.isclose(got[i], 1 / (1 + math.exp(-model.bias - sum(weight.get(g, 0.0) for g in plain_grams(t)))), rel_tol=1e-9)
+
+
 def test_chain_marginals_are_those_of_all_labelings():
     rng = np.random.default_rng(8)
     e, ties = rng.normal(size=6), np.array([0.5, -0.3, 0.2, 1.1])
