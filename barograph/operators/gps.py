@@ -120,6 +120,18 @@ def fixes(lines: DataFrame, hour_offset: int = 0) -> DataFrame:
     )
 
 
+def readouts(lines: DataFrame) -> DataFrame:
+    """What a display shows of each RMC sentence with a position: decimal degrees, the speed in every unit, day first."""
+    rows = decode(lines, columns=["latitude", "longitude", "speed_knots", "date"], kinds=["RMC"]).where("has_fix")
+    return rows.select(
+        "device_id",
+        *ORDER,
+        *[P.position_text(F.col(c), "dd").alias(f"{c}_dd") for c in ("latitude", "longitude")],
+        *[P.speed_text(F.col("speed_knots"), unit).alias(f"speed_{unit}") for unit in ("kph", "mph", "knot")],
+        P.date_text(F.col("date"), "s_dmy").alias("date_dmy"),
+    )
+
+
 def _line_bucket() -> Column:
     return F.expr(f"seq div {BUCKET_LINES}")
 

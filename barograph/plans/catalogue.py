@@ -17,7 +17,7 @@ from barograph.session import shared_dir
 from barograph.sinks.tables import export_csv, overwrite_parquet
 from barograph.sources import events
 from barograph.sources.messages import read_log, stream_log
-from barograph.sources.tables import load_hourly
+from barograph.sources.tables import load_hourly, stored_or_fresh, tables_of_schema
 from barograph.streaming import calibrated, changes, devices, hourly, landing, last_points, late, progress, receiver
 from barograph.streaming import live as live_streams
 
@@ -203,6 +203,28 @@ def sketch_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("column", "rows", "n_null", "low", "high", distinct_close.alias("distinct_close"), (near[0] & near[1] & near[2]).alias("quartiles_close"))
 
 
+def hourly_in_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly table by its name in the session's catalog, where it is found instead of the fresh frame beside it."""
+    rows, name = _landed(spark, _hourly(spark, sf_dir), "hourly_in_catalog"), "barograph_hourly_in_catalog"
+    assert stored_or_fresh(spark, name, rows) is rows
+    rows.createOrReplaceTempView(name)
+    found = stored_or_fresh(spark, name, rows.limit(0))
+    spark.catalog.dropTempView(name)
+    return plain(found)
+
+
+def tables_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One schema's names in a catalog listing that has a schema for each day and a table for each source heard on it."""
+    rows = _readings(spark, sf_dir, ["id", "read_date", "picow_local_ip"])
+    listing = rows.select(F.col("read_date").cast("string").alias("TABLE_SCHEMA"), F.concat(F.lit("from_"), "picow_local_ip").alias("TABLE_NAME"))
+    return tables_of_schema(listing.distinct(), "2024-01-10")
+
+
+def filter_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No filter leaves every row."""
+    return plain(filters.apply_filters(_hourly(spark, sf_dir), []))
+
+
 def filter_isin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(filters.apply_filters(_hourly(spark, sf_dir), [filters.OneOf("hour", [0, 6, 12, 18, None])]))
 
@@ -380,10 +402,11 @@ def device_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed twice from the same log; the second run must add nothing."""
+    """Landed from a log of several files that brings some messages twice; a second run must add nothing."""
     out = shared_dir(spark, "stream_landing")
+    arrived = events.repeated_log(spark, sf_dir, f"{out}/arrived")
     for _ in range(2):
-        stream = events.message_stream(spark, sf_dir)
+        stream = stream_log(spark, arrived, 1)
         changes.run_available(landing.landing_writer(stream, f"{out}/log", f"{out}/checkpoint"))
     return plain(monitor.topic_profile(landing.without_repeats(read_log(spark, f"{out}/log"))))
 
@@ -456,6 +479,10 @@ def nmea_chunk_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gps.fixes(_chunked(spark, sf_dir)).withColumn("seq", F.expr("seq div 2"))
 
 
+def nmea_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gps.readouts(_gps(spark, sf_dir).drop("ts"))
+
+
 def nmea_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gps.track(_gps(spark, sf_dir), hour_offset=5)
 
@@ -514,12 +541,12 @@ QUERIES: dict[str, Query] = {
     for f in (
         hourly_rollup, hourly_merged, messages_by_source, parsed_readings, reject_report, payload_version_counts,
         device_clock_skew, hour_headline, hour_delta_series, source_share, heatmap_date_hour, heatmap_matrix,
-        heatmap_weekday_hour, metric_long, column_profile, sketch_profile, filter_isin, filter_range, filter_dates, filter_regex,
+        heatmap_weekday_hour, metric_long, column_profile, sketch_profile, hourly_in_catalog, tables_listed, filter_none, filter_isin, filter_range, filter_dates, filter_regex,
         filter_composed, date_cutoff, live_projection, last_30_points, last_30_per_source, latest_reading, latest_source,
         humidity_band, memory_split, size_texts, source_freshness, topic_profile, cadence_gaps, top_sources, mart_match,
         mart_diff, mart_upsert, stream_hourly, late_hours_lost, late_hours_repaired, stream_last_30, stream_last_30_per_source, stream_buffer, stream_landing, stream_live,
         stream_lines, stream_live_once, stream_progress, stream_calibrated, device_status_changes,
-        nmea_quality, nmea_fixes, nmea_chunks, nmea_chunk_fixes, nmea_track, nmea_receiver, nmea_receiver_stream, nmea_satellites, calibrated_readings, calibrated_datasheet,
+        nmea_quality, nmea_fixes, nmea_chunks, nmea_chunk_fixes, nmea_readouts, nmea_track, nmea_receiver, nmea_receiver_stream, nmea_satellites, calibrated_readings, calibrated_datasheet,
         calibrate_roundtrip, calibration_unpacked, hourly_job_marts, hourly_incremental, offset_ledger, missing_offsets, hourly_stored, sources_exported, datetimes_coerced,
     )
 }

@@ -503,6 +503,23 @@ ORACLE["hourly_job_marts"] = _HOURLY + " SELECT *, (SELECT count(*) FROM r) AS l
 ORACLE["hourly_stored"] = ORACLE["hourly_rollup"]
 ORACLE["sources_exported"] = ORACLE["messages_by_source"]
 ORACLE["datetimes_coerced"] = _HOURLY + " SELECT datetime, datetime AS seen, 'h' || hour AS label FROM hourly"
+ORACLE["hourly_in_catalog"] = ORACLE["filter_none"] = _HOURLY + " SELECT * FROM hourly"
+ORACLE["tables_listed"] = (
+    "WITH "
+    + _READ.rstrip().rstrip(",")
+    + " SELECT DISTINCT 'from_' || ip AS \"TABLE_NAME\" FROM r WHERE CAST(ts AS DATE) = DATE '2024-01-10'"
+)
+ORACLE["nmea_readouts"] = (
+    _GPS.rstrip().rstrip(",")
+    + """ SELECT device_id, seq, 0 AS part,
+  CAST(lat_d + lat_m / 100.0 / 60.0 AS VARCHAR) || '° ' || lat_h AS latitude_dd,
+  CAST(lon_d + lon_m / 100.0 / 60.0 AS VARCHAR) || '° ' || lon_h AS longitude_dd,
+  CAST(CAST(value AS DOUBLE) * CAST(1.852 AS DOUBLE) AS VARCHAR) || ' km/h' AS speed_kph,
+  CAST(CAST(value AS DOUBLE) * CAST(1.151 AS DOUBLE) AS VARCHAR) || ' mph' AS speed_mph,
+  CAST(CAST(value AS DOUBLE) AS VARCHAR) || CASE WHEN value = 1 THEN ' knot' ELSE ' knots' END AS speed_knot,
+  strftime(ts, '%d/%m/%y') AS date_dmy
+FROM g WHERE clean AND active AND sets = 'RMC'"""
+)
 ORACLE["stream_landing"] = ORACLE["topic_profile"]
 # The stream drops a message if its hour had ended two hours before the newest reading of the batches but the last one:
 # Spark compares with the watermark of the batch before. The ledger takes the newest message of all batches before.
