@@ -180,3 +180,24 @@ def test_stream_of_the_events_table_has_the_envelope(spark):
     stream = events.message_stream(spark, SMALL)
     assert stream.isStreaming and [f.dataType for f in stream.schema] == [f.dataType for f in MESSAGES]
     assert naive(F.col("timestamp")) is not None
+
+
+def test_buffer_of_a_busy_source_and_many_quiet_ones(spark, folder, log):
+    """Sources share slices, a busy one's messages are cut down before they meet."""
+    first = log(*[document(i, ip='"busy"' if i % 2 else f'"{i % 60}"' if i % 58 else "null") for i in range(400)])
+    second = log(*[document(i, ip='"busy"') for i in range(50)], first=500, start="2024-03-01 09:00:00")
+    names = last_points.POINT.fieldNames() + ["slot"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for part in (first, second):
+            arrive(folder, part)
+            df = last_points.last_points_stream(stream_log(spark, f"{folder}/in"), per_source=True, slices=3)
+            changes.run_available(changes.change_writer(df, f"{folder}/changes", f"{folder}/cp", last_points.buffer_keys(True)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = changes.written_rows(spark, f"{folder}/changes", last_points.buffer_schema(True))
+    assert {r["slice"] for r in rows.select("slice").collect()} == {0, 1, 2}
+    # a source has one row for each batch that brings something of it, whatever the number of slices
+    assert rows.groupBy("batch", "source").count().where("count > 1").count() == 0
+    got = last_points.buffered_points(changes.current_rows(spark, f"{folder}/changes", last_points.buffer_schema(True), last_points.buffer_keys(True)), per_source=True)
+    assert rows_of(got.select(*names)) == rows_of(live.last_points_per_source(live.live_projection(read_log(spark, f"{folder}/in"))).select(*names))
