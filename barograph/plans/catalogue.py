@@ -348,9 +348,9 @@ def _late_stream(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A stream over a log of several files, of which the last brings a tenth of all messages too late for it."""
     out = shared_dir(spark, "late_stream")
     arrived = events.arrived_log(spark, sf_dir, f"{out}/arrived")
-    rows = hourly.hourly_stream(stream_log(spark, arrived, 1))
+    rows = hourly.hourly_stream(stream_log(spark, *arrived))
     changes.run_available(changes.change_writer(rows, f"{out}/changes", f"{out}/checkpoint", HOUR_KEY))
-    changes.run_available(late.log_writer(stream_log(spark, arrived, 1), out, f"{out}/landing"))
+    changes.run_available(late.log_writer(stream_log(spark, *arrived), out, f"{out}/landing"))
     return out, changes.current_rows(spark, f"{out}/changes", rows.schema, HOUR_KEY).select(*HOURLY_COLUMNS)
 
 
@@ -384,7 +384,7 @@ def stream_last_30_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 30 points from the state store, after a stream over a log of several files that come out of order."""
     out = shared_dir(spark, "stream_buffer")
-    log = stream_log(spark, events.arrived_log(spark, sf_dir, f"{out}/arrived"), 1)
+    log = stream_log(spark, *events.arrived_log(spark, sf_dir, f"{out}/arrived"))
     rows = last_points.last_points_stream(log, per_source=True)
     keys = last_points.buffer_keys(per_source=True)
     changes.run_available(changes.change_writer(rows, f"{out}/changes", f"{out}/checkpoint", keys))
@@ -394,7 +394,7 @@ def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def device_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each device came and went: offline by a timer, after six hours of silence."""
     out = shared_dir(spark, "device_status_changes")
-    log = stream_log(spark, events.arrived_log(spark, sf_dir, f"{out}/arrived", late_ones=False), 1)
+    log = stream_log(spark, *events.arrived_log(spark, sf_dir, f"{out}/arrived", late_ones=False))
     found = devices.status_changes(readings.parse_readings(log, ["id", "read_datetime", "picow_local_ip"]), 6 * 3600)
     writer = found.writeStream.format("parquet").option("path", f"{out}/changes").option("checkpointLocation", f"{out}/checkpoint")
     changes.run_available(writer.outputMode("append"))
@@ -406,7 +406,7 @@ def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "stream_landing")
     arrived = events.repeated_log(spark, sf_dir, f"{out}/arrived")
     for _ in range(2):
-        stream = stream_log(spark, arrived, 1)
+        stream = stream_log(spark, *arrived)
         changes.run_available(landing.landing_writer(stream, f"{out}/log", f"{out}/checkpoint"))
     return plain(monitor.topic_profile(landing.without_repeats(read_log(spark, f"{out}/log"))))
 
@@ -421,7 +421,7 @@ def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text lines of the live page, written by a stream over a log of several files that come out of order."""
     out = shared_dir(spark, "stream_lines")
-    log = stream_log(spark, events.arrived_log(spark, sf_dir, f"{out}/arrived"), 1)
+    log = stream_log(spark, *events.arrived_log(spark, sf_dir, f"{out}/arrived"))
     changes.run_available(live_streams.line_writer(log, f"{out}/rows", f"{out}/checkpoint"))
     return plain(spark.read.schema(live.event_lines(live.live_projection(log)).schema).parquet(f"{out}/rows"))
 
@@ -429,7 +429,7 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_live_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live rows of a stream that brings some messages twice, in one batch or in two."""
     out = shared_dir(spark, "stream_live_once")
-    log = stream_log(spark, events.repeated_log(spark, sf_dir, f"{out}/arrived"), 1)
+    log = stream_log(spark, *events.repeated_log(spark, sf_dir, f"{out}/arrived"))
     once = live_streams.without_repeats(log, "2 hours")
     changes.run_available(live_streams.live_writer(once, f"{out}/rows", f"{out}/checkpoint"))
     return plain(spark.read.schema(live.live_projection(once).schema).parquet(f"{out}/rows"))
@@ -438,7 +438,7 @@ def stream_live_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each batch took in and gave out: readings and rejects together are the messages."""
     out = shared_dir(spark, "stream_progress")
-    log = stream_log(spark, events.arrived_log(spark, sf_dir, f"{out}/arrived"), 1)
+    log = stream_log(spark, *events.arrived_log(spark, sf_dir, f"{out}/arrived"))
     changes.run_available(progress.counted_writer(log, out, f"{out}/checkpoint"))
     return plain(spark.read.schema(progress.COUNTS).parquet(f"{out}/counts"))
 
@@ -450,8 +450,8 @@ def stream_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = T.StructType([T.StructField("device_id", T.LongType()), T.StructField("reading_id", T.LongType()), T.StructField("burst", T.BinaryType())])
     for parts, shift in ((range(2), 0), (range(2, events.ARRIVALS), 10)):
         overwrite_parquet(constants.withColumn("dig_T1", F.col("dig_T1") + shift), f"{out}/constants")
-        events.arrived_bursts(spark, sf_dir, f"{out}/arrived", parts)
-        bursts = spark.readStream.schema(first).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrived")
+        files = events.arrived_bursts(spark, sf_dir, f"{out}/arrived", parts)
+        bursts = spark.readStream.schema(first).option("maxFilesPerTrigger", files).parquet(f"{out}/arrived")
         changes.run_available(calibrated.calibrated_writer(bursts, f"{out}/constants", f"{out}/rows", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/rows").drop("batch")
 
@@ -500,8 +500,8 @@ def nmea_receiver_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream over several files, in which every seventh sentence comes a file late."""
     out = shared_dir(spark, "nmea_receiver_stream")
     lines = _gps(spark, sf_dir).drop("ts")
-    step = events.arrived_lines(lines, f"{out}/arrived")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrived")
+    step, files = events.arrived_lines(lines, f"{out}/arrived")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/arrived")
     changes.run_available(receiver.receiver_writer(stream, f"{out}/tables", f"{out}/checkpoint", 2 * step, columns=RECEIVER_COLUMNS))
     state = receiver.written_states(lines, f"{out}/tables", RECEIVER_COLUMNS, to_the_end=True)
     return state.withColumn("satellites_used", F.array_join("satellites_used", " "))

@@ -91,36 +91,59 @@ def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Messages with this last digit of the offset come after all others in ``arrived_log``.
 LATE_DIGIT = 3
 ARRIVALS = 4
+#: Rows of a stretch that go into one file; a stretch with more comes in several.
+FILE_ROWS = 50_000
 
 
-def arrived_log(spark: SparkSession, sf_dir: str, path: str, late_ones: bool = True) -> str:
+def _files_each(rows: DataFrame) -> int:
+    """In how many files each stretch of ``rows`` comes."""
+    return max(1, -(-rows.count() // (ARRIVALS * FILE_ROWS)))
+
+
+def _files_in(spark: SparkSession, path: str) -> int:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(f.getPath().getName().endswith(".parquet") for f in files.listStatus(root)) if files.exists(root) else 0
+
+
+def _arrive(rows: DataFrame, path: str, files: int, *keys: str) -> None:
+    """Adds ``rows`` to ``path`` as exactly ``files`` files, dealt by ``keys``: a stream that takes as many at a time reads
+    stretch by stretch, since it takes files by age. Where a file has no row, an empty one is written for it."""
+    before = _files_in(rows.sparkSession, path)
+    rows.repartition(files, *keys).write.mode("append").parquet(path)
+    for _ in range(before + files - _files_in(rows.sparkSession, path)):
+        rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+
+
+def arrived_log(spark: SparkSession, sf_dir: str, path: str, late_ones: bool = True) -> tuple[str, int]:
     """The log as files in the order of arrival, written to ``path``: ``ARRIVALS`` stretches of offsets, then the late ones.
 
-    Without ``late_ones`` each message is in its stretch.
+    Without ``late_ones`` each message is in its stretch. Returns the path and how many files each stretch has.
     """
     log, at = messages(spark, sf_dir), F.col("offset")
-    size = log.agg(F.max("offset")).scalar() + 1
+    size, files = log.agg(F.max("offset")).scalar() + 1, _files_each(log)
     late = (at % 10 == LATE_DIGIT) & F.lit(late_ones)
     for i in range(ARRIVALS + late_ones):
         part = log.where(late) if i == ARRIVALS else log.where(~late & (F.floor(at * ARRIVALS / size) == i))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+        _arrive(part, path, files, "offset")
+    return path, files
 
 
-def arrived_lines(lines: DataFrame, path: str) -> int:
+def arrived_lines(lines: DataFrame, path: str) -> tuple[int, int]:
     """GPS lines as files in the order of arrival, written to ``path``: stretches of sequence numbers, but every seventh line
-    comes with the stretch after its own. Returns the length of a stretch."""
-    step = (lines.agg(F.max("seq")).first()[0] or 0) // ARRIVALS + 1
+    comes with the stretch after its own. Returns the length of a stretch and how many files each has."""
+    step, files = (lines.agg(F.max("seq")).first()[0] or 0) // ARRIVALS + 1, _files_each(lines)
     at = F.expr(f"seq div {step}") + F.when(F.col("seq") % 7 == 3, 1).otherwise(0)
     for i in range(ARRIVALS + 1):
-        lines.where(at == i).coalesce(1).write.mode("append").parquet(path)
-    return step
+        _arrive(lines.where(at == i), path, files, "device_id", "seq")
+    return step, files
 
 
-def repeated_log(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """The log as files in the order of arrival, where each but the first begins with repeats: every seventh message of
-    the last hour of the file before it, and one of its own twice."""
+def repeated_log(spark: SparkSession, sf_dir: str, path: str) -> tuple[str, int]:
+    """The log as files in the order of arrival, where each stretch but the first comes with repeats: every seventh message
+    of the last hour of the stretch before it, and one of its own twice. Returns the path and how many files each stretch has."""
     log, at = messages(spark, sf_dir), F.col("offset")
+    files = _files_each(log)
     size = log.agg(F.max("offset")).scalar() + 1
     log = log.withColumn("part", F.floor(at * ARRIVALS / size))
     ends = log.groupBy("part").agg(F.max("timestamp").alias("end"), F.max("offset").alias("last"))
@@ -129,18 +152,17 @@ def repeated_log(spark: SparkSession, sf_dir: str, path: str) -> str:
         again = log.where((F.col("part") == i - 1) & (at % 7 == 0) & (F.col("timestamp") > F.col("end") - F.expr("INTERVAL 1 HOUR")))
         own = log.where(F.col("part") == i)
         rows = own.unionByName(own.where(at == F.col("last"))).unionByName(again)
-        rows.select(*MESSAGES.fieldNames()).coalesce(1).write.mode("append").parquet(path)
-    return path
+        _arrive(rows.select(*MESSAGES.fieldNames()), path, files, "offset")
+    return path, files
 
 
-def arrived_bursts(spark: SparkSession, sf_dir: str, path: str, parts: range) -> str:
-    """Stretches ``parts`` of ``ARRIVALS`` of the raw registers, a file each, added to ``path``."""
+def arrived_bursts(spark: SparkSession, sf_dir: str, path: str, parts: range) -> int:
+    """Stretches ``parts`` of ``ARRIVALS`` of the raw registers, added to ``path``. Returns how many files each has."""
     rows = read_events(spark, sf_dir)
-    size = rows.agg(F.max("event_id")).scalar() + 1
+    size, files = rows.agg(F.max("event_id")).scalar() + 1, _files_each(rows)
     for i in parts:
-        part = raw_registers(rows.where(F.floor(F.col("event_id") * ARRIVALS / size) == i))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+        _arrive(raw_registers(rows.where(F.floor(F.col("event_id") * ARRIVALS / size) == i)), path, files, "reading_id")
+    return files
 
 
 def gps_lines(events: DataFrame) -> DataFrame:
