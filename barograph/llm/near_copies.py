@@ -1,9 +1,11 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates meet under bands of min-hashes: with 20 bands of 5, a pair of similarity 0.8 shares one with a probability of
-0.9996, a closer pair with a greater one. Only documents that share a band with another one go on, with their shingles;
-there each link is verified by its exact similarity, in parts of bounded size, and a part returns the links of a
-spanning forest, so that links grow with the rows. Shingles and sets are told apart by 64-bit hashes.
+Candidates are found by SimHash fingerprints of these sets, linked as in ``simhash`` at a Hamming distance of at most 4.
+Pairs of similarity 0.8 often differ in more bits, so candidates meet under bands of min-hashes as well: with 20 bands of
+5, such a pair shares one with a probability of 0.9996, a closer pair with a greater one. Only documents that have a link
+or share a band with another one go on, with their shingles; there each link is verified by its exact similarity, in parts
+of bounded size, and a part returns the links of a spanning forest, so that links grow with the rows. Shingles and sets
+are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barograph.llm import simhash
 from barograph.llm.components import smallest_reachable
 from barograph.llm.textbatch import RangeHash, mixed, slices, word_spans
 from barograph.session import shared_dir
@@ -66,14 +69,28 @@ def bands(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(h: np.ndarray, edges: np.ndarray, at_a_time: int = 1 << 16) -> np.ndarray:
+    """The SimHash of each text's set, unsigned: a bit is 1 if it is set in over half of the hashes; 0 without shingles."""
+    filled, counts = np.flatnonzero(edges[1:] > edges[:-1]), np.zeros((len(edges) - 1, 64), np.int64)
+    doc = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    for i in range(0, len(h), at_a_time):
+        part, of = h[i : i + at_a_time], doc[i : i + at_a_time]
+        new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts[of[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int64)
+    out = np.zeros(len(edges) - 1, np.uint64)
+    out[filled] = np.packbits(2 * counts[filled] > np.diff(edges)[filled, None], axis=1).view(">u8").reshape(-1)
+    return out
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, starts in slices(batches, "__text"):
         h, edges = shingles(data, starts)
         at, of = edges.tolist(), iter(bands(h, edges).view(np.int64).tolist())
         keys = [xxhash.xxh64_intdigest(h[a:b].tobytes()) - (1 << 63) for a, b in zip(at, at[1:], strict=False)]
-        made = [pa.array(keys, pa.int64()), pa.array([next(of) if b > a else [] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.int64()))]
+        made = [pa.array(keys, pa.int64()), pa.array([next(of) if b > a else [] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.int64())), pa.array(fingerprints(h, edges).view(np.int64))]
         kept = [(f, c) for f, c in zip(batch.schema.names, batch.columns, strict=True) if f != "__text"]
-        yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *made], names=[*(f for f, _ in kept), "__key", "__bands"])
+        yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *made], names=[*(f for f, _ in kept), "__key", "__bands", "__print"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +163,39 @@ def _leading(documents: DataFrame, leads: DataFrame, made: Column) -> DataFrame:
     return found.groupBy("__key", "__at").agg(made)
 
 
-def links(spark: SparkSession, documents: DataFrame, nodes: DataFrame, part: int = PART) -> DataFrame:
-    """(a, b): verified links between keys of ``nodes``, enough to connect all similar pairs that share a band."""
+def close_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b): keys of sets whose fingerprints are equal, or linked by ``simhash``; enough to connect all such sets."""
+    filled = nodes.where(F.size("bands") > 0)
+    prints = filled.groupBy("print").agg(F.min("key").alias("least"))
+    same = filled.join(prints, "print").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    first, second = (prints.select(F.col("print").alias(c), F.col("least").alias(f"key_{c}")) for c in "ab")
+    near = simhash.near_links(prints.select("print")).distinct().join(first, "a").join(second, "b")
+    return same.unionByName(near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+
+
+def _met(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """(which, bits, n, key): the groups of keys that are to be compared, of bands and of linked fingerprints."""
     keyed = nodes.select("key", F.posexplode("bands").alias("which", "bits"))
     shared = keyed.groupBy("which", "bits").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("least"), F.max("key").alias("most")).where("n > 1")
     # a group that meets under several bands is compared under one of them
     shared = shared.groupBy("n", "x", "least", "most").agg(F.min(F.struct("which", "bits")).alias("at")).select("at.which", "at.bits", "n")
-    at = shared_dir(spark, "copies-met")
+    at, links_at, pairs_at = shared_dir(spark, "copies-met"), shared_dir(spark, "prints-linked"), shared_dir(spark, "prints-met")
     keyed.join(shared, ["which", "bits"]).write.parquet(at)
-    met = spark.read.parquet(at)
+    close_prints(nodes).write.parquet(links_at)
+    banded, linked = spark.read.parquet(at), spark.read.parquet(links_at)
+    # a pair that a band has too is compared there; the others are groups of two
+    of_a = linked.join(banded.select(F.col("key").alias("a"), "which", "bits"), "a")
+    there = of_a.join(banded.select(F.col("key").alias("b"), "which", "bits"), ["b", "which", "bits"]).select("a", "b")
+    pairs = linked.join(there.distinct(), ["a", "b"], "left_anti")
+    group = [F.lit(BANDS).alias("which"), F.xxhash64("a", "b").alias("bits"), F.lit(2).cast("long").alias("n")]
+    pairs.select(*group, F.explode(F.array("a", "b")).alias("key")).write.parquet(pairs_at)
+    return banded.select("which", "bits", "n", "key").unionByName(spark.read.parquet(pairs_at))
+
+
+def links(spark: SparkSession, documents: DataFrame, nodes: DataFrame, part: int = PART) -> DataFrame:
+    """(a, b): verified links between keys of ``nodes``, enough to connect all similar pairs that share a band, beside those
+    of fingerprints."""
+    met = _met(spark, nodes)
     wanted = nodes.join(met.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("__key"), F.col("first").alias("__first"))
     texts = _leading(documents, wanted, F.min("__row.text").alias("text")).select(F.col("__key").alias("key"), "text")
     sets = texts.mapInArrow(_sets, "key long, shingles binary")
@@ -170,10 +211,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, part: int = PART) -> DataF
     at, nodes_at = shared_dir(spark, "documents-sketched"), shared_dir(spark, "sketches")
     # the caller's row goes along as one struct, so that none of its names meets one used here
     row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
-    schema = T.StructType([*row.drop("__text").schema, T.StructField("__key", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*row.drop("__text").schema, T.StructField("__key", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__print", T.LongType())])
     row.mapInArrow(_sketched, schema).write.parquet(at)
     documents = spark.read.parquet(at)
-    documents.groupBy(F.col("__key").alias("key")).agg(F.min("doc_id").alias("first"), F.first("__bands").alias("bands")).write.parquet(nodes_at)
+    documents.groupBy(F.col("__key").alias("key")).agg(F.min("doc_id").alias("first"), F.first("__bands").alias("bands"), F.first("__print").alias("print")).write.parquet(nodes_at)
     nodes = spark.read.parquet(nodes_at)
     roots = smallest_reachable(spark, links(spark, documents, nodes, part))
     rooted = nodes.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
