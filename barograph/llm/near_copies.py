@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from barograph.llm import simhash
 from barograph.llm.components import smallest_reachable
-from barograph.llm.textbatch import RangeHash, mixed, slices, word_spans
+from barograph.llm.textbatch import SMALL_SLICE, RangeHash, mixed, slices, word_spans
 from barograph.session import shared_dir
 
 SHINGLE_WORDS = 5
@@ -84,7 +84,7 @@ def fingerprints(h: np.ndarray, edges: np.ndarray, at_a_time: int = 1 << 16) ->
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, starts in slices(batches, "__text"):
+    for batch, data, starts in slices(batches, "__text", SMALL_SLICE):
         h, edges = shingles(data, starts)
         at, of = edges.tolist(), iter(bands(h, edges).view(np.int64).tolist())
         keys = [xxhash.xxh64_intdigest(h[a:b].tobytes()) - (1 << 63) for a, b in zip(at, at[1:], strict=False)]
@@ -94,7 +94,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, starts in slices(batches):
+    for batch, data, starts in slices(batches, limit=SMALL_SLICE):
         h, edges = shingles(data, starts)
         at = edges.tolist()
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["key", "shingles"])

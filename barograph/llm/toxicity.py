@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barograph.llm import labelled
-from barograph.llm.textbatch import slices, with_text
+from barograph.llm.textbatch import SMALL_SLICE, slices, with_text
 
 #: Characters in an n-gram; n-grams are hashed to 2^BITS features.
 SIZES, BITS = (3, 4, 5, 6), 20
@@ -91,7 +91,7 @@ class Model:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int64)
     # all n-grams of a slice are held here, so it is a small one
-    for batch, data, starts in slices(batches, limit=1 << 19):
+    for batch, data, starts in slices(batches, limit=SMALL_SLICE):
         doc, feature = present(data, starts)
         label = batch.column("label").to_numpy(zero_copy_only=False)[doc]
         for c in (0, 1):
@@ -104,7 +104,7 @@ def _chosen(kept: np.ndarray):
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(1 << BITS, bool)
         wanted[kept] = True
-        for batch, data, starts in slices(batches):
+        for batch, data, starts in slices(batches, limit=SMALL_SLICE):
             doc, feature = present(data, starts, wanted)
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.searchsorted(kept, feature), pa.int32()))
@@ -154,7 +154,7 @@ def fit(sampled: DataFrame, features: int = FEATURES) -> Model:
 def _scored(model: Model, text: str, columns: list[str]):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch, data, starts in slices(batches, text):
+        for batch, data, starts in slices(batches, text, SMALL_SLICE):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(model.scores(data, starts, table))], names=[*columns, "score"])
 
     return scored

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barograph.llm import mixing, near_copies, rules
+from barograph.llm import mixing, near_copies, rules, toxicity
 
 NAMES = ["size", "position", "position_again", "target", "taken", "source_size", "turn", "ahead", "level", "weight", "slice"]
 INNER = ["__source", "__order", "__slice", "__none", "__key", "__text", "__bands", "__row", "__words", "__lines", "__failed", "__out", "__body", "a.b"]
@@ -50,3 +54,18 @@ def test_of_differing_rows_of_one_document_the_same_one_stays(spark):
     rows = [(1, text, f"v{k}") for k in range(20)]
     kept = [near_copies.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, v string").repartition(n)).collect() for n in (1, 5)]
     assert kept[0] == kept[1] and [r["v"] for r in kept[0]] == ["v0"]
+
+
+def test_arrays_of_a_slice_stay_small():
+    """Tasks of near-dedup and toxicity hold many numbers for each byte of a slice."""
+    words = [f"{i * 7919 % 10007}x" for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(800)), "__text": [" ".join(words[i % 500 :]) for i in range(800)]})
+    model = toxicity.Model(np.arange(0, 1 << 20, 97), np.zeros(len(range(0, 1 << 20, 97))), 0.0)
+    assert batch.nbytes > 3 << 20
+    for made in (near_copies._sketched, toxicity._scored(model, "__text", ["doc_id"])):
+        tracemalloc.start()
+        for _ in made(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 50 << 20
